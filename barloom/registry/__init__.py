@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from barloom.registry.tables import SQL_TABLES
 
+NUDGE = 1e-9  # moves exact half-way decimals off the rounding edge, alike in both engines
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,7 +28,7 @@ CASES: dict[str, Case] = {}
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles for comparison across engines; -0.0 becomes 0.0."""
     return df.select(*[
-        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f.name) + F.lit(NUDGE), digits) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])
@@ -47,7 +48,7 @@ def build_sql(sql: str, uses: str, ctes: Sequence[tuple[str, str]], nums: str) -
     tables = [*_needed(uses.split()), *ctes]
     rec = "RECURSIVE " if any("(" in n or "RECURSIVE" in t for n, t in tables) else ""
     head = f"WITH {rec}" + ", ".join(f"{n} AS ({t})" for n, t in tables) + " " if tables else ""
-    fixes = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in nums.split())
+    fixes = ", ".join(f"round({c} + 1e-9, 6) + 0.0 AS {c}" for c in nums.split())
     pick = f"* REPLACE ({fixes})" if fixes else "*"
     return f"{head}SELECT {pick} FROM ({sql}) AS result"
 

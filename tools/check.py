@@ -78,7 +78,7 @@ def main() -> None:
                     print(f"   {len(miss)} differ", ca, miss[:3])
         except Exception as e:  # noqa: BLE001
             bad.append(name)
-            print(f"FAIL  {name}: {type(e).__name__} {str(e)[:700]}", flush=True)
+            print(f"FAIL  {name}: {type(e).__name__} {str(e)[:500]}", flush=True)
     print("bad:", bad)
 
 
