@@ -44,8 +44,11 @@ def longest_group(df: DataFrame, by: Sequence[str]) -> int:
     return int(top or 0)
 
 
-def fits(df: DataFrame, by: Sequence[str], rows: int | None = None) -> bool:
-    return longest_group(df, by) <= (rows or rows_per_task(df.sparkSession))
+def fits(df: DataFrame, by: Sequence[str], rows: int | None = None, longest: int | None = None) -> bool:
+    """Whether every group fits in one task.  ``longest`` is an upper bound the caller
+    already knows; without it one count job is run."""
+    bound = longest_group(df, by) if longest is None else longest
+    return bound <= (rows or rows_per_task(df.sparkSession))
 
 
 def _same(by: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
@@ -83,10 +86,10 @@ def _offsets(cells: DataFrame, by: Sequence[str], order: Sequence[str], n: str,
 
 def positions(
     df: DataFrame, by: Sequence[str], time: str, out: str = "pos", grain: str | int = "month",
-    rows: int | None = None,
+    rows: int | None = None, longest: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its key, in time order."""
-    if fits(df, by, rows):
+    if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(time)
         return df.withColumn(out, F.row_number().over(w) - 1)
     cut = df.withColumn("_cell", time_cell(df, time, grain))
@@ -104,7 +107,7 @@ def positions(
 def along_time(
     df: DataFrame, *stages: Stage, by: Sequence[str] = ("symbol",), time: str = "date",
     back: int = 0, ahead: int = 0, rows: int | None = None, grain: str | int = "month",
-    drop: Sequence[str] = (),
+    drop: Sequence[str] = (), longest: int | None = None,
 ) -> DataFrame:
     """Evaluate bounded row frames per key.
 
@@ -114,10 +117,10 @@ def along_time(
     """
     rows = rows or rows_per_task(df.sparkSession)
     rows = max(rows, back, ahead, 1)
-    if fits(df, by, rows):
+    if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(time)
         return _apply(df, stages, Line(w, F.row_number().over(w) - 1)).drop(*drop)
-    placed = positions(df, by, time, "_pos", grain, rows)
+    placed = positions(df, by, time, "_pos", grain, rows, longest)
     own = F.floor(F.col("_pos") / rows)
     into = F.col("_pos") % rows
     homes = F.array_compact(F.array(
@@ -140,11 +143,11 @@ _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 def running(
     df: DataFrame, parts: dict[str, tuple[str, Column]], by: Sequence[str] = ("symbol",),
     time: str = "date", rows: int | None = None, grain: str | int = "month",
-    exclusive: bool = False,
+    exclusive: bool = False, longest: int | None = None,
 ) -> DataFrame:
     """Running sum / max / min from the first row of the key to the current one."""
     end = -1 if exclusive else 0
-    if fits(df, by, rows):
+    if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({n: _COMBINE[k](e).over(w) for n, (k, e) in parts.items()})
     cut = df.withColumns({f"_in_{n}": e for n, (_, e) in parts.items()})
@@ -185,10 +188,10 @@ def _bucketed(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def ordered(
     df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rn", total: str | None = None,
-    rows: int | None = None,
+    rows: int | None = None, longest: int | None = None,
 ) -> DataFrame:
     """1-based ordinal in the key under a total order, and optionally the key's size."""
-    if fits(df, by, rows):
+    if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(*order)
         df = df.withColumn(out, F.row_number().over(w))
         return df if total is None else df.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*by)))
@@ -205,11 +208,13 @@ def ordered(
     return joined.withColumn(out, (F.col("_base") + F.col("_rn")).cast("int")).drop("_base", "_rn", *cells)
 
 
-def distribution(df: DataFrame, by: Sequence[str], col: str, rows: int | None = None) -> DataFrame:
+def distribution(
+    df: DataFrame, by: Sequence[str], col: str, rows: int | None = None, longest: int | None = None,
+) -> DataFrame:
     """Distinct non-null values per key with their count ``n``, the number of smaller
     rows ``below`` and the key's ``total``.  Equal values are counted before the shuffle."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    if fits(counts, by, rows):
+    if fits(counts, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(col)
         return counts.withColumns({
             "below": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -228,23 +233,23 @@ def distribution(df: DataFrame, by: Sequence[str], col: str, rows: int | None =
 
 def average_rank(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], outs: Sequence[str] | None = None,
-    counts: bool = False, rows: int | None = None,
+    counts: bool = False, rows: int | None = None, longest: int | None = None,
 ) -> DataFrame:
     """Rank with ties averaged; NULL stays NULL.  ``counts`` adds ``<out>_n``, the
     number of non-null values in the key."""
     outs = outs or [f"{c}_rank" for c in cols]
-    if fits(df, by, rows):
+    if fits(df, by, rows, longest):
         new = {}
         for col, out in zip(cols, outs):
             order = Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last())
-            peers = Window.partitionBy(*by, col)
+            peers = order.rangeBetween(Window.currentRow, Window.currentRow)
             value = F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0)
             new[out] = F.when(F.col(col).isNotNull(), value)
             if counts:
                 new[f"{out}_n"] = F.count(col).over(Window.partitionBy(*by))
         return df.withColumns(new)
     for col, out in zip(cols, outs):
-        spread = distribution(df, by, col, rows)
+        spread = distribution(df, by, col, rows, longest)
         side = spread.select(*by, col, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
         df = attach(df, side, [*by, col])
         if counts:
@@ -254,12 +259,12 @@ def average_rank(
 
 def quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str = "cuts",
-    rows: int | None = None,
+    rows: int | None = None, longest: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, as an array."""
-    if fits(df, by, rows):
+    if fits(df, by, rows, longest):
         return df.groupBy(*by).agg(F.percentile(col, F.array(*[F.lit(float(p)) for p in probs])).alias(out))
-    spread = distribution(df, by, col, rows)
+    spread = distribution(df, by, col, rows, longest)
 
     def at(place: Column) -> Column:  # value of the row at a 0-based place, found in its count range
         return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(col)))

@@ -38,10 +38,11 @@ def params_zscore(df: DataFrame, params: DataFrame, cols: Sequence[str], prefix:
 
 def cs_pct_rank(
     df: DataFrame, cols: Sequence[str], prefix: str = "cs_rank_", fill: float | None = 0.0, *, time=TIME,
+    longest: int | None = None,
 ) -> DataFrame:
     """Average-tie rank over the number of valid names on the date; 0 where NULL or alone."""
     names = [f"_rk_{c}" for c in cols]
-    out = average_rank(df, [time], cols, names, counts=True)
+    out = average_rank(df, [time], cols, names, counts=True, longest=longest)
     value = lambda n: F.when(F.col(f"{n}_n") > 1, F.col(n) / F.col(f"{n}_n"))
     filled = (lambda c: c) if fill is None else (lambda c: F.coalesce(c, lit(fill)))
     return out.withColumns({f"{prefix}{c}": filled(value(n)) for c, n in zip(cols, names)}).drop(

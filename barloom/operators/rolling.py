@@ -169,7 +169,8 @@ BASE_FEATURES = ("simple_return", "log_return", "sma_5", "sma_20", "rsi_14", "bo
                  "volume_ratio", "realized_vol_21", "bias")
 
 
-def base_features(df: DataFrame, price: str = "close", volume: str | None = "volume", *, by=KEY, time=TIME) -> DataFrame:
+def base_features(df: DataFrame, price: str = "close", volume: str | None = "volume", *, by=KEY, time=TIME,
+                  longest: int | None = None) -> DataFrame:
     """All base features from one sort per key; ``volume`` may be absent."""
     missing = [c for c in (price, volume) if c and c not in df.columns]
     if missing:
@@ -186,7 +187,7 @@ def base_features(df: DataFrame, price: str = "close", volume: str | None = "vol
         second["volume_ratio"] = lambda t: F.col(volume) / (mean_of(volume, t, 20) + lit(EPS))
     second["realized_vol_21"] = lambda t: realized_of("simple_return", t, 21)
     second["bias"] = lambda t: (F.col(price) - mean_of(price, t, 20)) / (mean_of(price, t, 20) + lit(EPS))
-    out = along_time(df, first, second, rsi, by=by, time=time, back=max(back, 22), rows=rows, drop=RSI_DROP)
+    out = along_time(df, first, second, rsi, by=by, time=time, back=max(back, 22), rows=rows, drop=RSI_DROP, longest=longest)
     names = [n for n in BASE_FEATURES if volume or n != "volume_ratio"]
     return out.select(*df.columns, *names)
 
