@@ -50,22 +50,36 @@ def daily_ic_series(
     return stats.select(*by, "n", F.when(F.col("n") >= min_names, F.coalesce("ic", lit(0))).otherwise(lit(0)).alias("ic"))
 
 
-def _average_ranks(a: np.ndarray) -> np.ndarray:
-    return pd.Series(a).rank().to_numpy()
+def _row_ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks along each row of a matrix."""
+    n, width = x.shape
+    order = np.argsort(x, axis=1, kind="stable")
+    vals = np.take_along_axis(x, order, axis=1)
+    at = np.broadcast_to(np.arange(width), (n, width))
+    new = np.ones((n, width), bool)
+    new[:, 1:] = vals[:, 1:] != vals[:, :-1]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    ends = np.ones((n, width), bool)
+    ends[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(ends, at, width)[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty((n, width))
+    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=1)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def _frame_spearman(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    """Spearman correlation of each pair of bounded arrays."""
+    """Spearman correlation of each pair of arrays; all arrays of a batch have one length."""
     out = np.full(len(xs), np.nan)
-    for i, (x, y) in enumerate(zip(xs, ys)):
-        if x is None or len(x) < 3:
+    have = np.flatnonzero([x is not None and len(x) > 2 for x in xs])
+    for part in np.array_split(have, max(1, len(have) // 2048)):
+        if not len(part):
             continue
-        rx, ry = _average_ranks(np.asarray(x, float)), _average_ranks(np.asarray(y, float))
-        rx, ry = rx - rx.mean(), ry - ry.mean()
-        den = np.sqrt((rx @ rx) * (ry @ ry))
-        if den > 0:
-            out[i] = rx @ ry / den
+        rx, ry = (_row_ranks(np.stack([np.asarray(v.iloc[i], float) for i in part])) for v in (xs, ys))
+        rx, ry = rx - rx.mean(axis=1, keepdims=True), ry - ry.mean(axis=1, keepdims=True)
+        den = np.sqrt((rx * rx).sum(axis=1) * (ry * ry).sum(axis=1))
+        top = (rx * ry).sum(axis=1)
+        out[part] = np.divide(top, den, out=np.full(len(part), np.nan), where=den > 0)
     return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
