@@ -253,7 +253,7 @@ def boost_fit(
 def _leaf(gh: tuple[float, float], config: BoostConfig) -> float:
     g, h = gh
     den = h + config.lambda_l2
-    return 0.0 if den <= 1e-20 else -np.sign(g) * max(abs(g) - config.lambda_l1, 0) / den
+    return 0.0 if den <= 1e-20 else float(-np.sign(g) * max(abs(g) - config.lambda_l1, 0) / den)
 
 
 def _grow(seen: DataFrame, used: list[int], config: BoostConfig):

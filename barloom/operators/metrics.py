@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import ANNUAL, guarded_corr, lit, sharpe_of, sortino_of
-from barloom.functions.grouping import along_time, average_rank, quantiles, running
+from barloom.functions.grouping import along_time, average_rank, longest_group, quantiles, running
 from barloom.operators.cross import signal_deciles
 from barloom.operators.panel import finite
 
@@ -278,8 +278,9 @@ def performance_table(
     out-of-sample period.  Input is one row per (strategy, date)."""
     periods = [F.lit("full")] + ([] if oos_start is None else [F.when(F.col(time) >= F.lit(oos_start), F.lit("oos"))])
     rows = df.withColumn("period", F.explode(F.array_compact(F.array(*periods))))
-    keys = [*by, "period"]
-    rows = rolling_sharpe(drawdowns(rows, equity, by=keys, time=time), ret, window, "_rs", by=keys, time=time)
+    keys, size = [*by, "period"], longest_group(df, by)
+    rows = drawdowns(rows, equity, by=keys, time=time, longest=size)
+    rows = rolling_sharpe(rows, ret, window, "_rs", by=keys, time=time, longest=size)
     first, last = F.min_by(equity, time), F.max_by(equity, time)
     base = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"), (last / first - 1).alias("total_return"),
@@ -371,7 +372,8 @@ def model_comparison(
     held = rank_positions(long, "signal", top_k, bottom_k, by=("strategy", time))
     pnl = held.groupBy("strategy", time).agg(F.avg(F.when(F.col("position") != 0, F.col("position") * F.col(ret))).alias("r"))
     pnl = pnl.withColumn("r", F.coalesce("r", lit(0)))
-    eq = drawdowns(equity_curve(pnl, "r", time=time), time=time)
+    size = df.select(time).distinct().count()
+    eq = drawdowns(equity_curve(pnl, "r", time=time, longest=size), time=time, longest=size)
     return eq.groupBy("strategy").agg(
         (F.max_by("equity", time) - 1).alias("total_return"), sharpe_of(F.col("r"), "eps").alias("sharpe"),
         F.min("drawdown").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"))

@@ -77,9 +77,9 @@ def macro_asof_join(df: DataFrame, macro: DataFrame, cols: Sequence[str], *, tim
     return attach(df, known, [time])
 
 
-def date_index(df: DataFrame, out: str = "date_idx", *, time=TIME) -> DataFrame:
+def date_index(df: DataFrame, out: str = "date_idx", *, time=TIME, longest: int | None = None) -> DataFrame:
     """Dense 0-based index of the date, counted on the distinct dates only."""
-    return attach(df, positions(df.select(time).distinct(), (), time, out), [time])
+    return attach(df, positions(df.select(time).distinct(), (), time, out, longest=longest), [time])
 
 
 def return_alignment(df: DataFrame, price: str = "close", scale: float = 100.0, *, by=KEY, time=TIME) -> DataFrame:

@@ -49,19 +49,20 @@ def long_short_daily(
     """Per date mean of the top K less mean of the bottom K, K = max(1, int(frac * N)); 0 when
     fewer than 2K names are valid.  N is ``n_names`` or the number of rows on the date."""
     keys = [*by, time]
-    sized = df.withColumn("_N", F.lit(n_names)) if n_names else group_stats(df, keys, _N=F.count(F.lit(1)))
-    k = F.greatest(F.floor(F.col("_N") * lit(frac)), F.lit(1))
-    ok = sized.filter(finite(pred) & finite(y))
-    placed = ordered(ok, keys, [pred, "symbol"], out="_k", total="_n").withColumn("_K", k)
-    top = F.avg(F.when(F.col("_k") > F.col("_n") - F.col("_K"), F.col(y)))
-    low = F.avg(F.when(F.col("_k") <= F.col("_K"), F.col(y)))
-    daily = placed.groupBy(*keys).agg(F.when(F.max("_n") >= 2 * F.max("_K"), top - low).otherwise(lit(0)).alias("ret"))
+    sized = df.withColumn("_all", F.lit(n_names)) if n_names else group_stats(df, keys, _all=F.count(F.lit(1)))
+    cut = F.greatest(F.floor(F.col("_all") * lit(frac)), F.lit(1))
+    ok = sized.filter(finite(pred) & finite(y)).withColumn("_cut", cut)
+    placed = ordered(ok, keys, [pred, "symbol"], out="_k", total="_n")
+    top = F.avg(F.when(F.col("_k") > F.col("_n") - F.col("_cut"), F.col(y)))
+    low = F.avg(F.when(F.col("_k") <= F.col("_cut"), F.col(y)))
+    daily = placed.groupBy(*keys).agg(F.when(F.max("_n") >= 2 * F.max("_cut"), top - low).otherwise(lit(0)).alias("ret"))
     return attach(df.select(*keys).distinct(), daily, keys).withColumn("ret", F.coalesce("ret", lit(0)))
 
 
 def long_short_summary(daily: DataFrame, ret: str = "ret", min_days: int = 20, *, by: Sequence[str] = (), time=TIME) -> DataFrame:
     """Sharpe, Sortino, drawdown, mean and deviation of a daily series; zeros for a short one."""
-    eq = drawdowns(equity_curve(daily, ret, by=by, time=time), by=by, time=time)
+    size = longest_group(daily, by)
+    eq = drawdowns(equity_curve(daily, ret, by=by, time=time, longest=size), by=by, time=time, longest=size)
     n, r = F.count(F.lit(1)), F.col(ret)
     aggs = {"sharpe": sharpe_of(r, "sample"), "sortino": sortino_of(r), "max_dd": F.min("drawdown"), "mean_ret": F.avg(r), "vol": F.stddev_samp(r)}
     return eq.groupBy(*by).agg(n.alias("n_days"), *[F.when(n < min_days, lit(0)).otherwise(a).alias(c) for c, a in aggs.items()])
@@ -116,7 +117,7 @@ def inverse_vol_weights(df: DataFrame, vol: str, floor: float = 1e-8, out: str =
 
 # ---- regimes -----------------------------------------------------------------------------
 
-def regime_classify(df: DataFrame, ret: str = "market_return", vol_lookback: int = 63, trend_lookback: int = 126, out: str = "regime", *, by: Sequence[str] = (), time=TIME) -> DataFrame:
+def regime_classify(df: DataFrame, ret: str = "market_return", vol_lookback: int = 63, trend_lookback: int = 126, out: str = "regime", *, by: Sequence[str] = (), time=TIME, longest: int | None = None) -> DataFrame:
     """Regime of each date from the market returns before it."""
     sd = lambda t, n: F.stddev_pop(ret).over(t.between(-n, -1))
     mean = lambda t, n: F.avg(ret).over(t.between(-n, -1))
@@ -127,7 +128,7 @@ def regime_classify(df: DataFrame, ret: str = "market_return", vol_lookback: int
         return F.when(t.pos < trend_lookback, "normal").when(ratio > 1.3, "high_vol").when(
             trend > 0, "low_vol_trending").otherwise("low_vol_mean_reverting")
 
-    return along_time(df, {out: value}, by=by, time=time, back=max(trend_lookback, vol_lookback, 63))
+    return along_time(df, {out: value}, by=by, time=time, back=max(trend_lookback, vol_lookback, 63), longest=longest)
 
 
 def regime_backtest(
@@ -139,15 +140,15 @@ def regime_backtest(
     before, scaled by the regime, and held; before that, and for the benchmark, every name
     weighs 1 / N.  A name without a bar on a date earns nothing that day.
     """
-    per_key = longest_group(df, ["symbol"])
-    rows = date_index(df, "_d", time=time)
+    per_key, n_days = longest_group(df, ["symbol"]), df.select(time).distinct().count()
+    rows = date_index(df, "_d", time=time, longest=n_days)
     rows = along_time(
         rows,
         {"_r": lambda t: F.coalesce(F.try_divide(F.col(price), F.lag(price).over(t.w)) - 1, lit(0))},
         {"_hv": lambda t: F.greatest(F.stddev_pop("_r").over(t.last(63)), lit(1e-6))},
         time=time, back=63, longest=per_key)
     market = rows.groupBy(time, "_d").agg(F.avg("_r").alias("_m"), F.sum("_r").alias("_sum"))
-    days = regime_classify(market, "_m", time=time)
+    days = regime_classify(market, "_m", time=time, longest=n_days)
     n = df.agg(F.count_distinct("symbol")).scalar()
     start = 126 // rebalance * rebalance + rebalance
     # Signals of date d-1 rank the names for the rebalance on d.
@@ -190,10 +191,11 @@ def regime_performance(returns: DataFrame, ret: str = "strategy_return", rebalan
 
 def liquidity_vol_weights(
     df: DataFrame, pred_vol: str, liquidity: str, top_k: int = 50, rebalance: int = 5, *, time=TIME,
+    n_days: int | None = None,
 ) -> DataFrame:
     """(rebalance day, symbol) weights: the most liquid names, by inverse predicted volatility
     or equally where no name has a prediction."""
-    rows = date_index(df, "_d", time=time)
+    rows = date_index(df, "_d", time=time, longest=n_days)
     last = rows.agg(F.max("_d")).scalar()
     at = rows.filter((F.col("_d") % rebalance == 0) & (F.col("_d") < last) & (F.col(liquidity) > 0))
     w = Window.partitionBy("_d").orderBy(F.desc(liquidity), "symbol")
@@ -203,9 +205,9 @@ def liquidity_vol_weights(
         F.col("_d").alias("reb"), "symbol", "weight", (lit(1) / F.col("_n")).alias("bench_weight"))
 
 
-def turnover(weights: DataFrame, step: int = 5, *, reb: str = "reb", weight: str = "weight") -> DataFrame:
+def turnover(weights: DataFrame, *, reb: str = "reb", weight: str = "weight", longest: int | None = None) -> DataFrame:
     """Half the absolute change of weights from the rebalance before; 0 for the first one."""
-    seq = attach(weights, positions(weights.select(reb).distinct(), (), reb, "_i", grain=1024), [reb])
+    seq = attach(weights, positions(weights.select(reb).distinct(), (), reb, "_i", longest=longest), [reb])
     old = seq.select((F.col("_i") + 1).alias("_i"), "symbol", F.col(weight).alias("_old"))
     both = seq.select("_i", "symbol", F.col(weight).alias("_new")).join(old, ["_i", "symbol"], "full")
     sums = both.groupBy("_i").agg((F.sum(F.abs(F.coalesce("_new", lit(0)) - F.coalesce("_old", lit(0)))) / 2).alias("_t"))
@@ -216,6 +218,7 @@ def turnover(weights: DataFrame, step: int = 5, *, reb: str = "reb", weight: str
 def vol_target_overlay(
     df: DataFrame, ret: str = "benchmark_return", target: float = 0.15, lookback: int = 63, min_obs: int = 21,
     floor: float = 0.25, cap: float = 2.0, out: str = "vol_target_return", *, by: Sequence[str] = (), time=TIME,
+    longest: int | None = None,
 ) -> DataFrame:
     """Return scaled by target over realised volatility (today included), inside [floor, cap]."""
 
@@ -224,7 +227,7 @@ def vol_target_overlay(
         lever = F.least(F.greatest(lit(target) / F.greatest(vol, lit(1e-10)), lit(floor)), lit(cap))
         return F.when(t.pos >= min_obs - 1, F.col(ret) * lever).otherwise(F.col(ret))
 
-    return along_time(df, {out: value}, by=by, time=time, back=lookback - 1)
+    return along_time(df, {out: value}, by=by, time=time, back=lookback - 1, longest=longest)
 
 
 def liquidity_vol_backtest(
@@ -234,19 +237,20 @@ def liquidity_vol_backtest(
     """Daily returns of the strategy, its equal-weight benchmark and the volatility-targeted
     benchmark.  Each day the weights are renormalised over the names that have a return to
     the next date; the cost is charged on rebalance days."""
-    rows = date_index(df.select(time, "symbol", price, liquidity, pred_vol), "_d", time=time)
+    per_key, n_days = longest_group(df, ["symbol"]), df.select(time).distinct().count()
+    rows = date_index(df.select(time, "symbol", price, liquidity, pred_vol), "_d", time=time, longest=n_days)
     days = rows.select(time, "_d").distinct()
-    weights = liquidity_vol_weights(df, pred_vol, liquidity, top_k, rebalance, time=time)
+    weights = liquidity_vol_weights(df, pred_vol, liquidity, top_k, rebalance, time=time, n_days=n_days)
     steps = along_time(
         rows, {"_r": lambda t: F.when(F.lead("_d").over(t.w) == F.col("_d") + 1, F.lead(price).over(t.w) / F.col(price) - 1)},
-        time=time, ahead=1)
+        time=time, ahead=1, longest=per_key)
     live = steps.withColumn("reb", (F.floor(F.col("_d") / rebalance) * rebalance).cast("int"))
     held = attach(live.filter(F.col("_r").isNotNull()), weights, ["reb", "symbol"], "inner")
     on = F.col("weight") > 0
     daily = held.groupBy("_d").agg(
         F.try_divide(F.sum(F.when(on, F.col("weight") * F.col("_r"))), F.sum(F.when(on, F.col("weight")))).alias("_s"),
         F.avg("_r").alias("_b"))
-    charge = turnover(weights, rebalance).select(F.col("reb").alias("_d"), "turnover")
+    charge = turnover(weights, longest=n_days).select(F.col("reb").alias("_d"), "turnover")
     line = attach(attach(days, daily, ["_d"]), charge, ["_d"])
     after = days.select((F.col("_d") - 1).alias("_d"), F.col(time).alias("_next"))
     line = attach(line, after, ["_d"], "inner")  # the last date has no return
@@ -254,7 +258,7 @@ def liquidity_vol_backtest(
         F.col("_next").alias(time), F.col("_d").alias("day"),
         (F.coalesce("_s", lit(0)) - lit(cost) * F.coalesce("turnover", lit(0))).alias("strategy_return"),
         F.coalesce("_b", lit(0)).alias("benchmark_return"))
-    return vol_target_overlay(out, time=time)
+    return vol_target_overlay(out, time=time, longest=n_days)
 
 
 # ---- signal tables -----------------------------------------------------------------------------

@@ -220,23 +220,26 @@ def soft_rank(
 ) -> DataFrame:
     """sum_j sigmoid((x_i - x_j) / temperature) per key.
 
-    Keys of at most 2048 rows are ranked exactly in one batch.  Larger keys use the smoothed
+    Keys of at most 2048 rows are ranked exactly, as one array each.  Larger keys use the smoothed
     distribution at 512 points between their extremes, summed by tasks and interpolated.
     """
     rows = df.dropna(subset=list(cols))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
     sized = attach(rows, sizes, by)
     outs = [f"{prefix}{c}" for c in cols]
-    small = sized.filter(F.col("_n") <= EXACT_ROWS).select(*df.columns)
-    schema = T.StructType([*small.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outs]])
+    small = sized.filter(F.col("_n") <= EXACT_ROWS).groupBy(*by).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
 
-    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        for c, o in zip(cols, outs):
-            x = pdf[c].to_numpy(float)
-            pdf[o] = _sigmoid((x[:, None] - x[None, :]) / temperature).sum(axis=1)
-        return pdf
+    @F.pandas_udf("array<double>")
+    def exact(groups: pd.Series) -> pd.Series:
+        def one(x) -> np.ndarray:
+            x = np.asarray(x, float)
+            return _sigmoid((x[:, None] - x[None, :]) / temperature).sum(axis=1)
 
-    near = small.groupBy(*by).applyInPandas(exact, schema)
+        return groups.map(one)
+
+    ranked = small.withColumns({o: exact(F.col("_rows")[c]) for c, o in zip(cols, outs)})
+    near = ranked.select(F.explode(F.arrays_zip("_rows", *outs)).alias("_z")).select(
+        "_z._rows.*", *[F.col(f"_z.{o}").alias(o) for o in outs])
     large = sized.filter(F.col("_n") > EXACT_ROWS)
     for c, o in zip(cols, outs):
         large = _grid_rank(large, c, o, temperature, by)

@@ -91,16 +91,16 @@ def _(s, sf):
 
 # ---- return series: three strategies of the daily market return --------------------------------
 
-STRAT = ("strat", """SELECT date, unnest(['market', 'half', 'short']) AS strategy, unnest([r / 500, r / 1000 - 0.0002, -r / 500]) AS r FROM daily""")
+STRAT = ("strat", """SELECT date, unnest(['market', 'half', 'short']) AS strategy, unnest([r / 5000, r / 10000 - 0.00002, -r / 5000]) AS r FROM daily""")
 EQ = ("eq", """SELECT *, product(1 + r) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM strat""")
 DD = ("dd", """SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak,
    equity / max(equity) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq""")
 
 
 def strategies(s, sf):
-    r = F.col("r") / 500
+    r = F.col("r") / 5000
     return X.daily(s, sf).select("date", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("strategy"), e.alias("r")) for n, e in (("market", r), ("half", r / 2 - 0.0002), ("short", -r))])))
+        F.struct(F.lit(n).alias("strategy"), e.alias("r")) for n, e in (("market", r), ("half", r / 2 - 0.00002), ("short", -r))])))
 
 
 @case("eval08_sharpe", """SELECT strategy, avg(r) / greatest(stddev_pop(r), 1e-10) * sqrt(252) AS pop, avg(r) / stddev_samp(r) * sqrt(252) AS sample,

@@ -24,12 +24,13 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
 
     def norm(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
-            return ""
-        if isinstance(v, float):
-            return f"{v:.6f}".replace("-0.000000", "0.000000")
         if hasattr(v, "tolist"):
             v = v.tolist()
+        if v is None or str(v) in ("NaT", "<NA>", "nan", "None"):
+            return ""
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            v = float(v)
+            return f"{v:.6f}".replace("-0.000000", "0.000000")
         if isinstance(v, (list, tuple)):
             return "[" + ",".join(norm(x) for x in v) + "]"
         if hasattr(v, "isoformat"):
