@@ -92,15 +92,15 @@ def positions(
     if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(time)
         return df.withColumn(out, F.row_number().over(w) - 1)
-    cut = df.withColumn("_cell", time_cell(df, time, grain))
-    sizes = cut.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    base = _offsets(sizes, by, ["_cell"], "_n", "_base").drop("_n")
-    w = Window.partitionBy(*by, "_cell").orderBy(time)
-    local = cut.withColumn("_rn", F.row_number().over(w) - 1)
+    cut = df.withColumn("__cell", time_cell(df, time, grain))
+    sizes = cut.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    base = _offsets(sizes, by, ["__cell"], "__n", "__base").drop("__n")
+    w = Window.partitionBy(*by, "__cell").orderBy(time)
+    local = cut.withColumn("__rn", F.row_number().over(w) - 1)
     return (
-        attach(local, base, [*by, "_cell"])
-        .withColumn(out, (F.col("_base") + F.col("_rn")).cast("int"))
-        .drop("_cell", "_base", "_rn")
+        attach(local, base, [*by, "__cell"])
+        .withColumn(out, (F.col("__base") + F.col("__rn")).cast("int"))
+        .drop("__cell", "__base", "__rn")
     )
 
 
@@ -120,15 +120,15 @@ def along_time(
     if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(time)
         return _apply(df, stages, Line(w, F.row_number().over(w) - 1)).drop(*drop)
-    placed = positions(df, by, time, "_pos", grain, rows, longest)
-    own = F.floor(F.col("_pos") / rows)
-    into = F.col("_pos") % rows
+    placed = positions(df, by, time, "__at", grain, rows, longest)
+    own = F.floor(F.col("__at") / rows)
+    into = F.col("__at") % rows
     homes = F.array_compact(F.array(
         own, F.when(into >= rows - back, own + 1), F.when(into < ahead, own - 1)))
-    blocks = placed.withColumn("_home", own).withColumn("_block", F.explode(homes))
-    line = Line(Window.partitionBy(*by, "_block").orderBy("_pos"), F.col("_pos"))
-    done = _apply(blocks, stages, line).filter(F.col("_block") == F.col("_home"))
-    return done.drop("_pos", "_home", "_block", *drop)
+    blocks = placed.withColumn("__home", own).withColumn("__blk", F.explode(homes))
+    line = Line(Window.partitionBy(*by, "__blk").orderBy("__at"), F.col("__at"))
+    done = _apply(blocks, stages, line).filter(F.col("__blk") == F.col("__home"))
+    return done.drop("__at", "__home", "__blk", *drop)
 
 
 def _apply(df: DataFrame, stages: Sequence[Stage], line: Line) -> DataFrame:
@@ -151,19 +151,19 @@ def running(
         w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({n: _COMBINE[k](e).over(w) for n, (k, e) in parts.items()})
     cut = df.withColumns({f"_in_{n}": e for n, (_, e) in parts.items()})
-    cut = cut.withColumn("_cell", time_cell(df, time, grain))
-    totals = cut.groupBy(*by, "_cell").agg(
+    cut = cut.withColumn("__cell", time_cell(df, time, grain))
+    totals = cut.groupBy(*by, "__cell").agg(
         *[_COMBINE[k](f"_in_{n}").alias(f"_t_{n}") for n, (k, _) in parts.items()])
-    prior = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*by, "_cell", *[
+    prior = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*by, "__cell", *[
         _COMBINE[k](f"_t_{n}").over(prior).alias(f"_c_{n}") for n, (k, _) in parts.items()])
-    w = Window.partitionBy(*by, "_cell").orderBy(time).rowsBetween(Window.unboundedPreceding, end)
+    w = Window.partitionBy(*by, "__cell").orderBy(time).rowsBetween(Window.unboundedPreceding, end)
     local = cut.withColumns({n: _COMBINE[k](f"_in_{n}").over(w) for n, (k, _) in parts.items()})
-    joined = attach(local, carry, [*by, "_cell"])
+    joined = attach(local, carry, [*by, "__cell"])
     join2 = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}
     out = joined.withColumns({
         n: join2[k](F.col(n), F.col(f"_c_{n}")) for n, (k, _) in parts.items()})
-    return out.drop("_cell", *[f"_{p}_{n}" for n in parts for p in ("in", "c")])
+    return out.drop("__cell", *[f"_{p}_{n}" for n in parts for p in ("in", "c")])
 
 
 def _code(df: DataFrame, col: str) -> Column:
@@ -195,17 +195,17 @@ def ordered(
         w = Window.partitionBy(*by).orderBy(*order)
         df = df.withColumn(out, F.row_number().over(w))
         return df if total is None else df.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    cells = [f"_b{i}" for i in range(len(order))]
+    cells = [f"__b{i}" for i in range(len(order))]
     for col, cell in zip(order, cells):
         df = _bucketed(df, col, cell)
-    sizes = df.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_n"))
-    base = _offsets(sizes, by, cells, "_n", "_base")
+    sizes = df.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("__n"))
+    base = _offsets(sizes, by, cells, "__n", "__base")
     if total is not None:
-        base = group_stats(base, by, **{total: F.sum("_n")})
+        base = group_stats(base, by, **{total: F.sum("__n")})
     w = Window.partitionBy(*by, *cells).orderBy(*order)
-    local = df.withColumn("_rn", F.row_number().over(w))
-    joined = attach(local, base.drop("_n"), [*by, *cells])
-    return joined.withColumn(out, (F.col("_base") + F.col("_rn")).cast("int")).drop("_base", "_rn", *cells)
+    local = df.withColumn("__rn", F.row_number().over(w))
+    joined = attach(local, base.drop("__n"), [*by, *cells])
+    return joined.withColumn(out, (F.col("__base") + F.col("__rn")).cast("int")).drop("__base", "__rn", *cells)
 
 
 def distribution(
@@ -220,14 +220,14 @@ def distribution(
             "below": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
             "total": F.sum("n").over(Window.partitionBy(*by)),
         })
-    cut = _bucketed(counts, col, "_b0")
-    sizes = cut.groupBy(*by, "_b0").agg(F.sum("n").alias("_n"))
-    base = group_stats(_offsets(sizes, by, ["_b0"], "_n", "_base"), by, total=F.sum("_n"))
-    w = Window.partitionBy(*by, "_b0").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("_in", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    cut = _bucketed(counts, col, "__b0")
+    sizes = cut.groupBy(*by, "__b0").agg(F.sum("n").alias("__n"))
+    base = group_stats(_offsets(sizes, by, ["__b0"], "__n", "__base"), by, total=F.sum("__n"))
+    w = Window.partitionBy(*by, "__b0").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("__in", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return (
-        attach(local, base.drop("_n"), [*by, "_b0"])
-        .withColumn("below", F.col("_base") + F.col("_in")).drop("_b0", "_base", "_in")
+        attach(local, base.drop("__n"), [*by, "__b0"])
+        .withColumn("below", F.col("__base") + F.col("__in")).drop("__b0", "__base", "__in")
     )
 
 

@@ -313,3 +313,10 @@ def _(s, sf):
 @case("fit23_rankic_value", "SELECT date, rankic_loss FROM rankic", "scores", "rankic_loss", SOFT)
 def _(s, sf):
     return S.rankic_value(X.scores(s, sf), "y", "pred_a")
+
+
+@case("study_walk_forward_ridge")
+def _(s, sf):
+    from barloom.plans.research import momentum_features, walk_forward_study
+
+    return walk_forward_study(*momentum_features(X.bars(s, sf)))

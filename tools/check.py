@@ -83,4 +83,5 @@ def main() -> None:
     print("bad:", bad)
 
 
-main()
+if __name__ == "__main__":
+    main()
