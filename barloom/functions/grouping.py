@@ -39,9 +39,24 @@ class Line:
 Stage = dict[str, Callable[[Line], Column]]
 
 
+_SEEN: dict[tuple, int] = {}
+
+
 def longest_group(df: DataFrame, by: Sequence[str]) -> int:
-    top = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(top or 0)
+    """Rows of the longest group.
+
+    Remembered per optimized plan of the key columns: steps that only add columns share
+    it, so a chain of operators counts once.  The number only picks between two equally
+    exact plans, so an outdated one costs time, never correctness.
+    """
+    keys = df.select(*by) if by else df.select(F.lit(1).alias("one"))
+    mark = (df.sparkSession.sparkContext.applicationId, tuple(by), keys._jdf.queryExecution().optimizedPlan().semanticHash())
+    if mark not in _SEEN:
+        top = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if len(_SEEN) > 10_000:
+            _SEEN.clear()
+        _SEEN[mark] = int(top or 0)
+    return _SEEN[mark]
 
 
 def fits(df: DataFrame, by: Sequence[str], rows: int | None = None, longest: int | None = None) -> bool:
@@ -51,15 +66,12 @@ def fits(df: DataFrame, by: Sequence[str], rows: int | None = None, longest: int
     return bound <= (rows or rows_per_task(df.sparkSession))
 
 
-def _same(by: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in by], F.lit(True))
-
-
 def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a per-key table back to the rows; null keys match each other."""
-    right = side.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in side.columns])
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on], F.lit(True))
-    return df.join(right, cond, how).drop(*[f"__{c}" for c in on])
+    """Join a per-key table back to the rows by plain equality, which keeps the rows'
+    partitioning usable.  Keys are not null; a row with a null key gets nulls."""
+    right = side.select(*[F.col(c).alias(f"__k_{c}") if c in on else F.col(c) for c in side.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__k_{c}") for c in on])
+    return df.join(right, cond, how).drop(*[f"__k_{c}" for c in on])
 
 
 def group_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:

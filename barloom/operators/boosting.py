@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import lit
-from barloom.functions.grouping import attach, group_stats, ordered
-from barloom.session import cut_lineage
+from barloom.functions.grouping import attach, group_stats, longest_group, ordered, quantiles
+from barloom.session import cut_lineage, rows_per_task
 
 Loss = Callable[[Column, Column], tuple[Column, Column, Column]]
 
@@ -64,7 +64,9 @@ def bin_boundaries(df: DataFrame, features: Sequence[str], num_bins: int = 256)
     steps through the distinct values.  Only the picked values (at most 255) are collected."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("v"))
     values = long.select("v.*").filter(F.col("x").isNotNull() & ~F.isnan("x")).distinct()
-    placed = ordered(values, ["feature"], ["x"], out="_k", total="_u")
+    rows = longest_group(df, ())  # no feature has more distinct values than rows
+    bound = rows if rows <= rows_per_task(df.sparkSession) else None
+    placed = ordered(values, ["feature"], ["x"], out="_k", total="_u", longest=bound)
     k = F.col("_k") - 1
     steps = F.sequence(F.lit(1), F.lit(num_bins - 1))
     picks = F.transform(steps, lambda s: F.floor(s.cast("double") / lit(num_bins) * (F.col("_u") - 1)))
@@ -76,13 +78,25 @@ def bin_boundaries(df: DataFrame, features: Sequence[str], num_bins: int = 256)
     return sorted_.select("feature", F.when(F.col("u") == 1, one).when(F.col("u") < num_bins, mids).otherwise(F.col("xs")).alias("bounds"))
 
 
+def _edges(bounds: DataFrame) -> dict[str, np.ndarray]:
+    """Boundaries on the driver: at most 255 numbers per feature."""
+    return {r["feature"]: np.asarray(r["bounds"], float) for r in bounds.collect()}
+
+
+def _bin_udf(edges: dict[str, np.ndarray], features: Sequence[str]):
+    @F.pandas_udf("array<int>")
+    def place(*cols: pd.Series) -> pd.Series:
+        placed = [np.where(c.isna(), 0, np.searchsorted(edges.get(f, np.zeros(0)), c.to_numpy(float), side="left"))
+                  for f, c in zip(features, cols)]
+        return pd.Series(list(np.column_stack(placed).astype("int32")))
+
+    return place(*[F.col(f).cast("double") for f in features])
+
+
 def bin_features(df: DataFrame, bounds: DataFrame, features: Sequence[str], prefix: str = "bin_") -> DataFrame:
     """Bin = number of boundaries below the value; NULL goes to bin 0."""
-    packed = bounds.agg(F.map_from_entries(F.collect_list(F.struct("feature", "bounds")))).scalar()
-    rows = df.withColumn("_b", packed)
-    return rows.withColumns({
-        f"{prefix}{f}": F.when(F.col(f).isNull(), F.lit(0)).otherwise(
-            F.size(F.filter(F.col("_b")[f], lambda b: b < F.col(f)))) for f in features}).drop("_b")
+    rows = df.withColumn("_b", _bin_udf(_edges(bounds), features))
+    return rows.withColumns({f"{prefix}{f}": F.col("_b")[i] for i, f in enumerate(features)}).drop("_b")
 
 
 # ---- histograms and splits -------------------------------------------------------------------------
@@ -193,16 +207,10 @@ def boost_fit(
     is_val = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
     rows = df.select(*[F.col(f).cast("double") for f in features], F.col(y).cast("double").alias("_y"), is_val.alias("_val")).dropna(subset=["_y"])
     train = rows.filter(~F.col("_val"))
-    bounds = {r["feature"]: np.asarray(r["bounds"]) for r in bin_boundaries(train, features, config.max_bins).collect()}
-
-    @F.pandas_udf("array<int>")
-    def bin_all(*cols: pd.Series) -> pd.Series:
-        placed = [np.where(c.isna(), 0, np.searchsorted(bounds.get(f, np.zeros(0)), c.to_numpy(float), side="left")) for f, c in zip(features, cols)]
-        return pd.Series(list(np.column_stack(placed).astype("int32")))
-
-    centre = F.percentile("_y", lit(0.5)) if loss == "mae" else F.avg("_y")
-    init = float(train.agg(centre).first()[0])
-    state = rows.select(bin_all(*features).alias("_b"), "_y", "_val", F.rand(config.seed).alias("_u"), lit(init).alias("_p"))
+    bounds = _edges(bin_boundaries(train, features, config.max_bins))
+    centre = quantiles(train, (), "_y", [0.5]).select(F.col("cuts")[0]) if loss == "mae" else train.agg(F.avg("_y"))
+    init = float(centre.first()[0])
+    state = rows.select(_bin_udf(bounds, features).alias("_b"), "_y", "_val", F.rand(config.seed).alias("_u"), lit(init).alias("_p"))
     state = cut_lineage(state)
     nodes: list[tuple] = []
     train_losses: list[float] = []

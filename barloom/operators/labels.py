@@ -80,13 +80,14 @@ def concurrency(bars: DataFrame, events: DataFrame, pos: str = "pos", *, by=KEY,
     return running(joined, {"active": ("sum", F.col("_d"))}, by=by, time=pos).drop("d", "_d")
 
 
-def avg_uniqueness(events: DataFrame, *, by=KEY, t0: str = "t0_pos", t1: str = "t1_pos", out: str = "uniqueness") -> DataFrame:
+def avg_uniqueness(events: DataFrame, *, by=KEY, t0: str = "t0_pos", t1: str = "t1_pos", out: str = "uniqueness",
+                   longest: int | None = None) -> DataFrame:
     """Mean of 1 / concurrency over [t0, t1]; 0 when t1 < t0.
 
     Concurrency is constant between edges, so a prefix sum over edges, read at t0 and at
-    t1 + 1, replaces any join of intervals.
+    t1 + 1, replaces any join of intervals.  ``longest`` bounds the events of a key when known.
     """
-    size = 2 * longest_group(events, by)  # at most two edges per event
+    size = 2 * (longest_group(events, by) if longest is None else longest)  # two edges per event
     act = running(_edges(events, by, t0, t1), {"_a": ("sum", F.col("d"))}, by=by, time="at", longest=size)
     wide = along_time(act, {"_w": lambda t: F.lead("at").over(t.w) - F.col("at")}, by=by, time="at", ahead=1, longest=size)
     mass = F.coalesce(F.col("_w") / F.greatest("_a", F.lit(1)), lit(0))
@@ -103,10 +104,10 @@ def avg_uniqueness(events: DataFrame, *, by=KEY, t0: str = "t0_pos", t1: str = "
 
 def sample_weights(
     events: DataFrame, decay: float = 0.0, ret: str = "ret", *, by=KEY, t0: str = "t0_pos", t1: str = "t1_pos",
-    out: str = "weight",
+    out: str = "weight", longest: int | None = None,
 ) -> DataFrame:
     """uniqueness * |return| * exp(-decay * (T - t0)) with T the key's last t1."""
-    uniq = avg_uniqueness(events, by=by, t0=t0, t1=t1, out="_u")
+    uniq = avg_uniqueness(events, by=by, t0=t0, t1=t1, out="_u", longest=longest)
     last = group_stats(uniq, by, _T=F.max(t1)) if decay > 0 else uniq.withColumn("_T", F.lit(0))
     fade: Column = F.exp(lit(-decay) * F.greatest(F.col("_T") - F.col(t0), F.lit(0))) if decay > 0 else lit(1)
     return last.withColumn(out, F.col("_u") * F.abs(ret) * fade).drop("_u", "_T")

@@ -49,26 +49,30 @@ def fills_to_positions(fills: DataFrame, order: str = "seq", *, by: Sequence[str
         F.struct("_pos", a.alias("a"), b.alias("b"), closed.alias("m"), price.alias("p")).alias("s"),
         after.alias("_after"), F.col("_pos"), (-signed * price).alias("_cash"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def sale(acc: Column, x: Column) -> Column:
+        """One fill after the composed fills: P&L is r0 - r1 * (average before the first)."""
         return F.struct(
             (x["a"] * acc["a"]).alias("a"), (x["a"] * acc["b"] + x["b"]).alias("b"),
             (acc["r0"] + x["m"] * (x["p"] - acc["b"])).alias("r0"), (acc["r1"] + x["m"] * acc["a"]).alias("r1"))
 
+    def compose(acc: Column, x: Column) -> Column:
+        f = x["f"]
+        return F.struct(
+            (f["a"] * acc["a"]).alias("a"), (f["a"] * acc["b"] + f["b"]).alias("b"),
+            (acc["r0"] + f["r0"] - f["r1"] * acc["b"]).alias("r0"), (acc["r1"] + f["r1"] * acc["a"]).alias("r1"))
+
     start = F.struct(lit(1).alias("a"), lit(0).alias("b"), lit(0).alias("r0"), lit(0).alias("r1"))
-    blocks = steps.groupBy(*by, "_block").agg(
-        F.aggregate(F.sort_array(F.collect_list("s")), start, step).alias("f"),
+    level = steps.groupBy(*by, "_block").agg(
+        F.aggregate(F.sort_array(F.collect_list("s")), start, sale).alias("f"),
         F.max_by("_after", "_pos").alias("_after"), F.sum("_cash").alias("_cash"), F.count(F.lit(1)).alias("_n"))
-
-    def chain(acc: Column, x: Column) -> Column:
-        f = x["f"]
-        return F.struct((f["a"] * acc["avg"] + f["b"]).alias("avg"), (acc["pl"] + f["r0"] - f["r1"] * acc["avg"]).alias("pl"))
-
-    books = blocks.groupBy(*by).agg(
-        F.aggregate(F.sort_array(F.collect_list(F.struct("_block", "f"))), F.struct(lit(0).alias("avg"), lit(0).alias("pl")), chain).alias("e"),
-        F.max_by("_after", "_block").alias("qty"), F.sum("_cash").alias("cash_flow"), F.sum("_n").alias("n_fills"))
-    return books.select(
-        *by, "qty", F.when(F.col("qty") != 0, F.col("e.avg")).alias("avg_entry_price"), F.col("e.pl").alias("realized_pl"),
-        "cash_flow", "n_fills")
+    for group in (F.floor(F.col("_block") / BLOCK), F.lit(0)):  # BLOCK blocks at a time, then the rest
+        level = level.groupBy(*by, group.alias("_next")).agg(
+            F.aggregate(F.sort_array(F.collect_list(F.struct("_block", "f"))), start, compose).alias("f"),
+            F.max_by("_after", "_block").alias("_after"), F.sum("_cash").alias("_cash"), F.sum("_n").alias("_n"),
+        ).withColumnRenamed("_next", "_block")
+    return level.select(
+        *by, F.col("_after").alias("qty"), F.when(F.col("_after") != 0, F.col("f.b")).alias("avg_entry_price"),
+        F.col("f.r0").alias("realized_pl"), F.col("_cash").alias("cash_flow"), F.col("_n").alias("n_fills"))
 
 
 def account_valuation(positions: DataFrame, prices: DataFrame, initial_cash: float = 0.0, *, account: str = "account") -> DataFrame:

@@ -354,9 +354,9 @@ def predictor_ranks(df: DataFrame, predictors: Sequence[str], a: str, b: str, *,
     ranks = ok.select(F.posexplode(cells).alias("place", "c")).groupBy(F.col("c.predictor").alias("predictor")).agg(F.avg("place").alias("mean_rank"))
     long = df.unpivot([by], list(predictors), "predictor", "loss").filter(finite("loss"))
     stats = long.groupBy("predictor").agg(
-        F.avg("loss").alias("mean_loss"), F.percentile("loss", lit(0.5)).alias("median_loss"),
-        F.stddev_pop("loss").alias("std_loss"), F.count(F.lit(1)).alias("n_valid"))
-    return stats.join(ranks, "predictor").withColumn("share_a_beats_b", better)
+        F.avg("loss").alias("mean_loss"), F.stddev_pop("loss").alias("std_loss"), F.count(F.lit(1)).alias("n_valid"))
+    middle = quantiles(long, ["predictor"], "loss", [0.5], "_q").select("predictor", F.col("_q")[0].alias("median_loss"))
+    return stats.join(middle, "predictor").join(ranks, "predictor").withColumn("share_a_beats_b", better)
 
 
 def model_comparison(

@@ -156,7 +156,8 @@ def regime_backtest(
     sized = group_stats(eve, ["_reb"], _valid=F.count(pred))
     best = Window.partitionBy("_reb").orderBy(F.desc_nulls_last(pred), "symbol")
     enough = F.col("_valid") >= top_k
-    picks = sized.withColumn("_k", F.row_number().over(best)).filter(~enough | (F.col("_k") <= top_k))
+    top = sized.filter(enough).withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top_k).drop("_k")
+    picks = top.unionByName(sized.filter(~enough))
     regimes = days.select(F.col("_d").alias("_reb"), "regime")
     held = attach(picks, regimes, ["_reb"])
     base = F.when(enough, lit(1) / lit(top_k)).otherwise(lit(1) / n)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barloom.functions.grouping import positions
+from barloom.functions.grouping import longest_group, positions
 from barloom.operators import labels as L
 from barloom.operators import panel as P
 from barloom.operators import rolling as G
@@ -80,13 +80,15 @@ _UNIQ = [*_EV, ("active", """SELECT p.symbol, p.rn - 1 AS pos, count(e.symbol) A
 
 @case("lab05_avg_uniqueness", "SELECT symbol, t0, uniqueness FROM uniq", "px", "uniqueness", _UNIQ)
 def _(s, sf):
-    return L.avg_uniqueness(L.triple_barrier_events(_vol(s, sf))).select("symbol", "t0", "uniqueness")
+    d = _vol(s, sf)
+    return L.avg_uniqueness(L.triple_barrier_events(d), longest=longest_group(d, ["symbol"])).select("symbol", "t0", "uniqueness")
 
 
 @case("lab06_sample_weights", """SELECT symbol, t0, uniqueness * abs(ret) * exp(-0.01 * greatest(max(t1_pos) OVER (PARTITION BY symbol) - t0_pos, 0)) AS weight
       FROM uniq""", "px", "weight", _UNIQ)
 def _(s, sf):
-    return L.sample_weights(L.triple_barrier_events(_vol(s, sf)), decay=0.01).select("symbol", "t0", "weight")
+    d = _vol(s, sf)
+    return L.sample_weights(L.triple_barrier_events(d), decay=0.01, longest=longest_group(d, ["symbol"])).select("symbol", "t0", "weight")
 
 
 # ---- splits ------------------------------------------------------------------------

@@ -84,7 +84,25 @@ def _(s, sf):
 # ---- sources -------------------------------------------------------------------
 
 from barloom.operators import panel as P  # noqa: E402
+from barloom.session import shared_folder  # noqa: E402
 from barloom.sources import bars as B  # noqa: E402
+from barloom.sources.store import write_predictions  # noqa: E402
+
+
+@case("src01_read_bars", """SELECT symbol, date, close, volume FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 500)""",
+      "bars", "close volume")
+def _(s, sf):
+    path = shared_folder(s)
+    write_predictions(X.bars(s, sf), path)
+    return B.read_bars(s, path, "parquet", 500).select("symbol", "date", "close", "volume")
+
+
+@case("src06_write_predictions", "SELECT symbol, date, pred_a, y, fold FROM scores", "scores", "pred_a y")
+def _(s, sf):
+    path = shared_folder(s)
+    write_predictions(X.scores(s, sf).drop("pred_b"), path, "csv", ["fold"])
+    schema = "symbol string, date date, pred_a double, y double, fold int"
+    return s.read.schema(schema).option("header", True).csv(path)
 
 
 @case("src02_merge_symbols", """SELECT symbol, date, close, volume FROM bars WHERE CAST(symbol AS INT) % 2 = 0

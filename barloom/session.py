@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,12 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK, "1000000"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where the cluster keeps checkpoints; a local one only when none is set."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base or tempfile.mkdtemp(prefix='barloom-')}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that iterative jobs survive executor loss.
 
