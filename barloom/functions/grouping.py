@@ -251,15 +251,19 @@ def average_rank(
     number of non-null values in the key."""
     outs = outs or [f"{c}_rank" for c in cols]
     if fits(df, by, rows, longest):
-        new = {}
+        new, parts = {}, Window.partitionBy(*by)
         for col, out in zip(cols, outs):
-            order = Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last())
-            peers = order.rangeBetween(Window.currentRow, Window.currentRow)
-            value = F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0)
-            new[out] = F.when(F.col(col).isNotNull(), value)
+            order = parts.orderBy(F.col(col).asc_nulls_last())
+            up_to = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            new[out] = F.when(F.col(col).isNotNull(), (F.rank().over(order) + up_to) / F.lit(2.0))
             if counts:
-                new[f"{out}_n"] = F.count(col).over(Window.partitionBy(*by))
-        return df.withColumns(new)
+                new[f"{out}_n"] = F.count(col).over(parts)
+        if len(cols) <= 4:
+            return df.withColumns(new)
+        # Many sorts of the same rows: carry what is not ranked as one packed value.
+        rest = [c for c in df.columns if c not in (*by, *cols)]
+        packed = df.select(*by, *cols, F.struct(*rest).alias("__rest")).withColumns(new)
+        return packed.select(*by, "__rest.*", *cols, *new)
     for col, out in zip(cols, outs):
         spread = distribution(df, by, col, rows, longest)
         side = spread.select(*by, col, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias(out))

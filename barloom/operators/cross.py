@@ -13,8 +13,13 @@ from barloom.functions.grouping import attach, average_rank, group_stats, quanti
 TIME = "date"
 
 
-def cs_zscore(df: DataFrame, cols: Sequence[str], prefix: str = "cs_z_", *, time=TIME) -> DataFrame:
-    """(x - mean) / max(population deviation, 1e-8) on the date; NULL becomes 0."""
+def cs_zscore(
+    df: DataFrame, cols: Sequence[str], prefix: str = "cs_z_", keep_means: dict[str, str] | None = None, *, time=TIME,
+) -> DataFrame:
+    """(x - mean) / max(population deviation, 1e-8) on the date; NULL becomes 0.
+
+    ``keep_means`` also keeps the date mean of a column under another name.
+    """
     aggs = {}
     for c in cols:
         aggs[f"_m_{c}"], aggs[f"_s_{c}"] = F.avg(c), F.stddev_pop(c)
@@ -22,7 +27,7 @@ def cs_zscore(df: DataFrame, cols: Sequence[str], prefix: str = "cs_z_", *, time
     return out.withColumns({
         f"{prefix}{c}": F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), lit(1e-8)), lit(0))
         for c in cols
-    }).drop(*aggs)
+    } | {name: F.col(f"_m_{c}") for c, name in (keep_means or {}).items()}).drop(*aggs)
 
 
 def params_zscore(df: DataFrame, params: DataFrame, cols: Sequence[str], prefix: str = "cs_z_") -> DataFrame:

@@ -58,11 +58,11 @@ def _(s, sf):
     return L.position_concentration(pos, last, val).select("account", "symbol", "concentration")
 
 
-_TARGETS = ("targets", "SELECT account, symbol, round(sum(qty)) % 400 AS target_qty FROM fills GROUP BY 1, 2 HAVING max(seq) % 3 <> 0")
+_TARGETS = ("targets", "SELECT account, symbol, round(sum(qty)) % 400 AS target_qty FROM fills GROUP BY 1, 2 HAVING count(*) >= 3")
 
 
 def targets(s, sf):
-    return fills(s, sf).groupBy("account", "symbol").agg((F.round(F.sum("qty")) % 400).alias("target_qty"), F.max("seq").alias("_m")).filter("_m % 3 <> 0").drop("_m")
+    return fills(s, sf).groupBy("account", "symbol").agg((F.round(F.sum("qty")) % 400).alias("target_qty"), F.count(F.lit(1)).alias("_m")).filter("_m >= 3").drop("_m")
 
 
 @case("led04_rebalance_deltas", """SELECT account, symbol, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN abs(d) * price > 5000 THEN 5000 / price ELSE abs(d) END AS order_qty
@@ -77,12 +77,12 @@ def _(s, sf):
         SELECT g.*, abs(p.qty * l.price) AS now, l.price, v.nav FROM sig g JOIN pos p USING (account, symbol) JOIN last l USING (symbol) JOIN val v USING (account)
         WHERE g.target_qty > 0 AND NOT EXISTS (SELECT 1 FROM opn o WHERE o.account = g.account AND o.symbol = g.symbol AND o.side = g.side))) WHERE allowed_qty >= 1""",
       nums="target_qty allowed_qty", ctes=[*FILLS, ("sig", "SELECT account, symbol, max_by(side, seq) AS side, max_by(qty, seq) AS target_qty FROM fills GROUP BY 1, 2"),
-                                          ("opn", "SELECT account, symbol, min_by(side, seq) AS side FROM fills GROUP BY 1, 2 HAVING count(*) % 2 = 0")])
+                                          ("opn", "SELECT account, symbol, min_by(side, seq) AS side FROM fills GROUP BY 1, 2 HAVING count(*) >= 7")])
 def _(s, sf):
     f = fills(s, sf)
     pos, last, val = book(s, sf)
     sig = f.groupBy("account", "symbol").agg(F.max_by("side", "seq").alias("side"), F.max_by("qty", "seq").alias("target_qty"))
-    opn = f.groupBy("account", "symbol").agg(F.min_by("side", "seq").alias("side"), F.count(F.lit(1)).alias("n")).filter("n % 2 = 0")
+    opn = f.groupBy("account", "symbol").agg(F.min_by("side", "seq").alias("side"), F.count(F.lit(1)).alias("n")).filter("n >= 7")
     return L.signal_gate(sig, opn, pos, val, last, 0.02, fractional=False)
 
 

@@ -87,9 +87,9 @@ def _(s, sf):
 
 @case("spl10_cv_runner", """SELECT fold, CASE WHEN count(*) >= 10 THEN avg(CASE WHEN sign(y) = sign(pred) THEN CAST(1 AS DOUBLE) ELSE 0 END) ELSE 0.5 END AS direction_accuracy
       FROM (SELECT r.fold, y, my - wa * ma - wb * mb + wa * pred_a + wb * pred_b AS pred FROM rs r JOIN fit USING (fold) WHERE NOT tr) GROUP BY 1""", "scores", "direction_accuracy",
-      [("rs", "SELECT *, month(date) <= 8 AS tr FROM scores WHERE fold < 3"), ("trn", "SELECT * FROM rs WHERE tr"), ("fit", _closed("trn", "fold"))])
+      [("rs", "SELECT *, month(date) <= 8 AS tr FROM scores"), ("trn", "SELECT * FROM rs WHERE tr"), ("fit", _closed("trn", "fold"))])
 def _(s, sf):
-    d = X.scores(s, sf).withColumn("role", F.when(F.month("date") <= 8, "train").otherwise("test")).filter("fold < 3")
+    d = X.scores(s, sf).withColumn("role", F.when(F.month("date") <= 8, "train").otherwise("test"))
     train = lambda t: S.ridge_fit(t, FEATS, "y", by=["fold"])
     _, metric = K.cv_runner(d, train, lambda m, t: S.linear_score(t, m, FEATS), lambda p: M.direction_accuracy(p, "y", "pred"))
     return metric
