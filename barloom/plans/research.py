@@ -13,6 +13,7 @@ from barloom.operators.rolling import momentum
 from barloom.operators.cross import cs_pct_rank
 from barloom.operators.scoring import evaluate_folds, linear_score, ridge_fit
 from barloom.operators.splits import fold_expand, walk_forward_windows
+from barloom.session import cut_lineage
 
 
 def momentum_features(bars: DataFrame, periods: Sequence[int] = (5, 21)) -> tuple[DataFrame, list[str]]:
@@ -33,4 +34,6 @@ def walk_forward_study(
     expanded = valid_row_filter(fold_expand(rows, folds, roles=["train", "val"]), features, "target")
     models = ridge_fit(expanded.filter(F.col("role") == "train"), features, "target", alpha)
     scored = linear_score(expanded.filter(F.col("role") == "val"), models, features)
-    return evaluate_folds(scored, "target")
+    # Four metrics read the predictions: keep them once instead of scoring four times.
+    kept = cut_lineage(scored.select("symbol", "date", "fold", "target", "pred"))
+    return evaluate_folds(kept, "target")
