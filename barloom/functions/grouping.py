@@ -67,10 +67,13 @@ def fits(df: DataFrame, by: Sequence[str], rows: int | None = None, longest: int
 
 
 def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a per-key table back to the rows by plain equality, which keeps the rows'
-    partitioning usable.  Keys are not null; a row with a null key gets nulls."""
+    """Join a per-key table back to the rows; null keys match each other.
+
+    Null-safe equality also keeps the optimizer from inferring filters between two branches
+    of one table, which fails to bind when a key is computed from another column.
+    """
     right = side.select(*[F.col(c).alias(f"__k_{c}") if c in on else F.col(c) for c in side.columns])
-    cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__k_{c}") for c in on])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in on])
     return df.join(right, cond, how).drop(*[f"__k_{c}" for c in on])
 
 
