@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, quality
+from barloom.llm import fingerprints, jaccard, lines, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,27 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.as_text(mine).alias("fingerprint"), fingerprints.as_text(edited).alias("edited_fingerprint"),
         fingerprints.containment(mine, edited).alias("near_edited"), fingerprints.containment(mine, after).alias("near_next"),
         fingerprints.resemblance(mine, edited).alias("resemblance_edited"), fingerprints.resemblance(mine, after).alias("resemblance_next"))
+
+
+@query("op6_lines")
+def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, dropped="n_dropped").withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+JACCARD_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^ 	-]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      WHERE 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n) GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 190 * count(*) >= 90 * (x.n + y.n)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (WITH RECURSIVE r(node, c) AS (SELECT doc_id, doc_id FROM t UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node WHERE r.c < e.b) SELECT node, min(c) AS c FROM r GROUP BY node)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id FROM t LEFT JOIN n USING (doc_id) JOIN r ON r.node = t.doc_id
+"""
+
+
+@query("op10_jaccard", JACCARD_SQL)
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, folder, "documents"), k=3, percent=90)
