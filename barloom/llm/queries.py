@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, jaccard, lines, quality
+from barloom.llm import fingerprints, jaccard, lines, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,7 +88,8 @@ def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 JACCARD_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                             '[^ 	-]+') AS w FROM documents),
+                                             '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
@@ -102,3 +103,32 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id FRO
 @query("op10_jaccard", JACCARD_SQL)
 def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, folder, "documents"), k=3, percent=90)
+
+
+MIXING_SQL = r"""
+WITH t AS (SELECT doc_id, CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS sk, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS u FROM documents),
+s AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY starts_with(sk, '~'), sk) - 1) % 3 + 1 AS w
+      FROM (SELECT sk, sum(size)::BIGINT AS source_size, count(*) AS n FROM t GROUP BY sk)),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+             sum(w) OVER (ORDER BY cap::DOUBLE / w, sk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w, sum(source_size) OVER () AS total FROM s WHERE source_size > 0),
+f AS (SELECT capped, rest_w FROM o WHERE (total - capped) * w <= cap * rest_w ORDER BY capped LIMIT 1),
+g AS (SELECT s.sk, source_size, n, CASE WHEN o.sk IS NULL THEN 0.0 WHEN o.capped < f.capped THEN s.cap::DOUBLE
+             ELSE least(((o.total - f.capped) * s.w)::DOUBLE / f.rest_w, s.cap::DOUBLE) END AS target FROM s LEFT JOIN (SELECT sk, capped, total FROM o) o USING (sk) LEFT JOIN f ON true),
+p AS (SELECT *, greatest(1, least(4096, (n + 255) // 256)) AS n_blocks, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM g),
+q AS (SELECT *, greatest(target - passes * source_size, 0.0) AS rest FROM p),
+b AS (SELECT t.*, source_size, target, passes, rest, ((u >> 20) * n_blocks) >> 40 AS block FROM t JOIN q USING (sk)),
+tot AS (SELECT *, sum(bs) OVER (PARTITION BY sk ORDER BY block) AS upto FROM (SELECT sk, block, sum(size) AS bs, max(rest) AS rest FROM b GROUP BY sk, block)),
+cut AS (SELECT sk, min(block) AS cut, min_by(rest - upto + bs, block) AS part FROM tot WHERE upto > rest GROUP BY sk),
+i AS (SELECT b.sk, doc_id, size, u, part, sum(size) OVER (PARTITION BY b.sk ORDER BY size DESC, u DESC) <= part AS large,
+             sum(size) OVER (PARTITION BY b.sk ORDER BY size, u) - size / 2.0 AS below FROM b JOIN cut ON cut.sk = b.sk AND cut.cut = b.block),
+e AS (SELECT sk, doc_id FROM (SELECT *, coalesce(sum(size) FILTER (large) OVER (PARTITION BY sk), 0) AS filled FROM i) WHERE large OR below <= part - filled)
+SELECT b.doc_id, size, source_size, target, (size * (passes + CASE WHEN rest > 0 AND (cut.cut IS NULL OR block < cut.cut OR e.doc_id IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM b LEFT JOIN cut ON cut.sk = b.sk LEFT JOIN e ON e.sk = b.sk AND e.doc_id = b.doc_id AND b.block = cut.cut
+"""
+
+
+@query("op2_mixing", MIXING_SQL)
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_report(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
