@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, jaccard, lines, mixing, quality
+from barloom.llm import fingerprints, jaccard, lines, mixing, quality, records
+from barloom.llm.columns import stored
+from barloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +134,13 @@ FROM b LEFT JOIN cut ON cut.sk = b.sk LEFT JOIN e ON e.sk = b.sk AND e.doc_id =
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_report(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_records")
+def op8_records(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path, files = public_tokenizers.path("word_bpe_49k.json"), shared_folder(spark)
+    index = records.write_records(table(spark, folder, "documents"), files, path, end_id=1)
+    digests = records.read_records(index, files, path).select("shard", "place", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return records.with_start(stored(digests)).select("doc_id", "start", "n_tokens", "ids_crc32")
