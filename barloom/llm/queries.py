@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, jaccard, lines, mixing, quality, records
+from barloom.llm import fingerprints, jaccard, lines, mixing, passages, pieces, quality, records, toxicity
 from barloom.llm.columns import stored
 from barloom.session import shared_folder
 
@@ -144,3 +144,29 @@ def op8_records(spark: SparkSession, folder: str) -> DataFrame:
     index = records.write_records(table(spark, folder, "documents"), files, path, end_id=1)
     digests = records.read_records(index, files, path).select("shard", "place", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return records.with_start(stored(digests)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op7_pieces")
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    decoded = pieces.decode_pieces(pieces.encode_pieces(docs, model), model)
+    return decoded.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.size("ids").cast("bigint").alias("n_pieces"),
+                          F.xxhash64("ids").alias("ids_hash"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.join(labels, "doc_id").filter(~held_out))
+    slim = toxicity.score(docs, model).select("doc_id", "score")
+    return slim.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_passages")
+def op5_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
