@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from barloom.llm.columns import stored, whole
+from barloom.llm.columns import fresh, stored, whole
 from barloom.llm.components import components
 from barloom.llm.hashing import marked, run_hashes, word_hashes
 
@@ -182,3 +182,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "d
     named = sets.join(reps, "fp", "left").join(found, "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("_component", "rep"))
     return named.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest key of their group, and all rows without words or without a group.
+
+    Of rows that repeat a kept key with equal sets one stays, whichever comes first by text.
+    """
+    groups = jaccard_groups(docs, k, percent, key, text)
+    gone = groups.filter((F.col("n_shingles") > 0) & (F.col(key) != F.col("component_id"))).select(key).distinct()
+    kept = docs.join(gone.withColumnRenamed(key, "_gone"), F.col(key).cast("bigint") == F.col("_gone"), "left_anti") 
+    again = groups.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again"))
+    alone = kept.join(again, F.col(key).cast("bigint") == F.col("_again"), "left_anti")
+    repeated = kept.join(again, F.col(key).cast("bigint") == F.col("_again"), "left_semi")
+    place = F.row_number().over(W.partitionBy(key).orderBy(text))
+    (rank,) = fresh(docs, ["_rank"])
+    return alone.unionByName(repeated.withColumn(rank, place).filter(F.col(rank) == 1).drop(rank))

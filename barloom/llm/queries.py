@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, jaccard, lines, mixing, passages, pieces, quality, records, toxicity
+import corpus_pipeline
+from barloom.llm import fingerprints, jaccard, lines, mixing, passages, pieces, quality, records, toxicity, url_lists
 from barloom.llm.columns import stored
 from barloom.session import shared_folder
 
@@ -170,3 +171,56 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_passages")
 def op5_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+def fetched_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with a fetch day, spread over two years by their id."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(730)).cast("int"))
+    return table(spark, folder, "pages").select("page_id", "url", day.alias("fetched"))
+
+
+def derived_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the pages' own sites: of every third host, first path part and domain, drawn by a digest, an addition, for
+    most of them a later removal, and for some a second addition."""
+    host = url_lists.host_of(F.col("url"))
+    step = F.regexp_extract(url_lists.path_of(F.col("url")), "^(/[^/]*)", 1)
+    rules = F.array(F.concat(F.lit("domain:"), host), F.concat(F.lit("prefix:"), host, step),
+                    F.concat(F.lit("domain:"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)))
+    sites = pages.select(F.explode(rules).alias("rule")).distinct()
+    draw = lambda at, n: F.conv(F.substring(F.md5("rule"), at, 6), 16, 10).cast("int") % n
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    first, gone, again = draw(7, 500), draw(13, 120) + 1, draw(19, 200) + 1
+    entry = lambda action, n: F.struct(F.lit(action).alias("action"), day(n).alias("day"))
+    dated = F.array(entry("add", first), F.when(draw(25, 4) > 0, entry("remove", first + gone)),
+                    F.when(draw(25, 4) > 1, entry("add", first + gone + again)))
+    return sites.filter(draw(1, 3) == 0).select(F.lit("drawn").alias("list"), "rule", F.explode(F.array_compact(dated)).alias("e")).select("list", "rule", "e.*")
+
+
+URL_SQL = r"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS fetched,
+                  regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host,
+                  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s AS (SELECT DISTINCT unnest(['domain:' || host, 'prefix:' || host || regexp_extract(path, '^(/[^/]*)', 1), 'domain:' || regexp_extract(host, '([^.]+\.[^.]+)$', 1)]) AS rule FROM p),
+d AS (SELECT rule, ('0x' || substr(md5(rule), 1, 6))::BIGINT % 3 AS pick, ('0x' || substr(md5(rule), 7, 6))::BIGINT % 500 AS first,
+             ('0x' || substr(md5(rule), 13, 6))::BIGINT % 120 + 1 AS gone, ('0x' || substr(md5(rule), 19, 6))::BIGINT % 200 + 1 AS again,
+             ('0x' || substr(md5(rule), 25, 6))::BIGINT % 4 AS more FROM s),
+v AS (SELECT rule, first AS since, CASE WHEN more > 0 THEN first + gone ELSE 100000 END AS until FROM d WHERE pick = 0
+      UNION ALL SELECT rule, first + gone + again, 100000 FROM d WHERE pick = 0 AND more > 1),
+k AS (SELECT page_id, fetched - DATE '2024-01-01' AS n, 'domain:' || array_to_string(l[i:], '.') AS rule
+      FROM (SELECT page_id, fetched, string_split(host, '.') AS l, unnest(generate_series(1, len(string_split(host, '.')))) AS i FROM p WHERE host <> '')
+      UNION SELECT page_id, fetched - DATE '2024-01-01', 'prefix:' || host || array_to_string(l[1:i], '/')
+      FROM (SELECT page_id, fetched, host, string_split(path, '/') AS l, unnest(generate_series(1, len(string_split(path, '/')))) AS i FROM p WHERE host <> '')),
+h AS (SELECT page_id, count(*) AS n_rules, min(v.rule) AS first_rule FROM k JOIN v ON v.rule = k.rule AND since <= n AND n < until GROUP BY page_id)
+SELECT page_id, url, fetched, coalesce(n_rules, 0)::INTEGER AS n_rules, first_rule, n_rules IS NOT NULL AS blocked FROM p LEFT JOIN h USING (page_id)
+"""
+
+
+@query("op1_url_lists", URL_SQL)
+def op1_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = fetched_pages(spark, folder)
+    judged = url_lists.listed(pages, derived_entries(pages))
+    return judged.select("page_id", "url", "fetched", F.size("listed").alias("n_rules"), F.get("listed", F.lit(0))["rule"].alias("first_rule"),
+                         (F.size("listed") > 0).alias("blocked"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
