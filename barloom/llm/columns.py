@@ -61,3 +61,24 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+MARKS = 2**24
+
+
+def _mark(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+
+
+def with_mark(df: DataFrame, keys: list[str], ids: DataFrame, into: str) -> DataFrame:
+    """``df`` with a flag that is true for every row whose ``keys`` are in ``ids`` (the same columns), and by chance for some others.
+
+    The table of marks that every task holds has at most 2^24 bits in 2^18 rows, whatever the number of ids; it thins what goes
+    into a join, which stays exact.
+    """
+    place, bits = fresh(df, ["_place", "_bits"])
+    marks = ids.select(_mark(*map(F.col, keys)).alias("m")).groupBy(F.shiftright("m", 6).alias(place)).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("m").bitwiseAND(63).cast("int"))).alias(bits))
+    rows = df.withColumn(place, F.shiftright(_mark(*map(F.col, keys)), 6)).join(F.broadcast(marks), place, "left")
+    bit = F.call_function("shiftrightunsigned", F.col(bits), _mark(*map(F.col, keys)).bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return rows.withColumn(into, F.coalesce(bit == 1, F.lit(False))).select(*df.columns, into)
