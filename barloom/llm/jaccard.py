@@ -189,12 +189,11 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "do
 
     Of rows that repeat a kept key with equal sets one stays, whichever comes first by text.
     """
-    groups = jaccard_groups(docs, k, percent, key, text)
-    gone = groups.filter((F.col("n_shingles") > 0) & (F.col(key) != F.col("component_id"))).select(key).distinct()
-    kept = docs.join(gone.withColumnRenamed(key, "_gone"), F.col(key).cast("bigint") == F.col("_gone"), "left_anti") 
-    again = groups.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again"))
-    alone = kept.join(again, F.col(key).cast("bigint") == F.col("_again"), "left_anti")
-    repeated = kept.join(again, F.col(key).cast("bigint") == F.col("_again"), "left_semi")
-    place = F.row_number().over(W.partitionBy(key).orderBy(text))
-    (rank,) = fresh(docs, ["_rank"])
-    return alone.unionByName(repeated.withColumn(rank, place).filter(F.col(rank) == 1).drop(rank))
+    gone, again, rank = fresh(docs, ["_gone", "_again", "_rank"])
+    groups = stored(jaccard_groups(docs, k, percent, key, text).filter("n_shingles > 0"))
+    others = groups.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone)).distinct()
+    twice = groups.groupBy(key).count().filter("count > 1").select(F.col(key).alias(again))
+    kept = docs.join(others, F.col(key).cast("bigint") == F.col(gone), "left_anti")
+    same = F.col(key).cast("bigint") == F.col(again)
+    repeated = kept.join(twice, same, "left_semi").withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(text)))
+    return kept.join(twice, same, "left_anti").unionByName(repeated.filter(F.col(rank) == 1).drop(rank))
