@@ -26,7 +26,7 @@ from barloom.llm.columns import whole
 MASK_ADD = 0xA282EAD8  # fixed value of the masking rule
 NO_KEY = -(2**63)
 HELD = 2**23
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 _ENCODERS: dict[str, WordIds] = {}
 
 
