@@ -50,13 +50,14 @@ def targets(sources: DataFrame, most: int = 3) -> DataFrame:
     before = order.rowsBetween(W.unboundedPreceding, -1)
     after = order.rowsBetween(0, W.unboundedFollowing)
     capped = F.coalesce(F.sum(cap).over(before), F.lit(0))
-    level = sources.filter(live).select("sk", cap.alias("cap"), "weight", capped.alias("capped"), F.sum("weight").over(after).alias("left"),
-                                        F.sum("source_size").over(W.partitionBy(F.lit(0))).alias("all"))
+    level = sources.withColumn("all", F.sum("source_size").over(W.partitionBy(F.lit(0)))).filter(live)
+    level = level.select("sk", cap.alias("cap"), "weight", "all", capped.alias("capped"), F.sum("weight").over(after).alias("left"))
     fixed = (F.col("all") - F.col("capped")) * F.col("weight") <= F.col("cap") * F.col("left")
     first = F.min(F.when(fixed, F.struct("capped", "left"))).over(W.partitionBy(F.lit(0)))
     level = level.withColumn("first", first)
     share = (F.col("all") - F.col("first.capped")) * F.col("weight") / F.col("first.left")
-    level = level.select("sk", F.when(F.col("first").isNull() | (F.col("capped") < F.col("first.capped")), F.col("cap").cast("double")).otherwise(F.least(share, F.col("cap").cast("double"))).alias("target"))
+    full = F.col("cap").cast("double")
+    level = level.select("sk", F.when(F.col("first").isNull() | (F.col("capped") < F.col("first.capped")), full).otherwise(F.least(share, full)).alias("target"))
     return sources.join(level, "sk", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
 
 
