@@ -58,10 +58,9 @@ def listed(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     captures = captures.drop(into)
     sites = captures.select(F.col(url).alias("u"), F.col(day).alias("d")).filter("u is not null and d is not null").distinct()
     keys = sites.select("u", "d", F.explode(F.array_distinct(rule_keys(F.col("u")))).alias("rule"), _month(F.col("d")).alias("month"))
-    first, last = captures.agg(F.min(day), F.max(day)).first()
-    spans = validity(entries).filter((F.col("since") <= F.lit(last)) & (F.coalesce("until", F.lit(last) + F.expr("interval 1 day")) > F.lit(first)))
-    ends = F.least(F.coalesce(F.date_sub("until", 1), F.lit(last)), F.lit(last))
-    months = F.sequence(_month(F.greatest("since", F.lit(first))), _month(ends))
+    first, last = (F.lit(x).cast("date") for x in captures.agg(F.min(day), F.max(day)).first())
+    spans = validity(entries).filter((F.col("since") <= last) & (F.coalesce("until", F.date_add(last, 1)) > first))
+    months = F.sequence(_month(F.greatest("since", first)), _month(F.least(F.coalesce(F.date_sub("until", 1), last), last)))
     held = spans.select("list", "rule", "since", "until", F.explode(months).alias("month"))
     met = keys.join(held, ["rule", "month"]).filter((F.col("since") <= F.col("d")) & F.coalesce(F.col("until") > F.col("d"), F.lit(True)))
     verdicts = met.groupBy("u", "d").agg(F.sort_array(F.collect_set(F.struct("list", "rule"))).alias("l"))
