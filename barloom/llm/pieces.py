@@ -28,7 +28,8 @@ from barloom.llm.columns import fresh, stored, whole
 SPACE = "▁"
 CHUNK = 16_384
 FANIN = 64
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
+SOLVED_KEPT = 100_000
 UNKNOWN_COST = 10.0
 NEVER = -np.inf
 _LATTICES: dict[str, Lattice] = {}
@@ -45,6 +46,9 @@ class Lattice:
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in plain}
         self.longest = max(map(len, self.pieces))
+        self.starts: dict[str, tuple[int, float] | None] = dict.fromkeys(p[:n] for p in self.pieces for n in range(1, len(p)))
+        self.starts |= self.pieces
+        self.pairs = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_COST
         self.bytes_ = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.unknown_id = model.unk_id()
@@ -60,25 +64,28 @@ class Lattice:
         self.solved: dict[str, tuple[float, np.ndarray]] = {}
         self.ids: dict[str, bytes] = _Ids(self)
 
-    def forward(self, text: str, start: int, stop: int) -> tuple[np.ndarray, list[tuple[int, tuple[int, ...]]]]:
+    def forward(self, text: str, start: int, stop: int) -> tuple[list[float], list[tuple[int, tuple[int, ...]]]]:
         """Best scores at every place reached from ``start`` by pieces that begin before ``stop``, and how each place was reached.
         Of equally good ways the one with the longest last piece stays."""
-        best = np.full(len(text) + 1, NEVER).tolist()
-        back: list[tuple[int, tuple[int, ...]]] = [(-1, ())] * (len(text) + 1)
+        n, starts = len(text), self.starts
+        best, back = [NEVER] * (n + 1), [(-1, ())] * (n + 1)
         best[start] = 0.0
         for at in range(start, stop):
             score = best[at]
             if score == NEVER:
                 continue
-            if text[at] not in self.pieces and score + self.unknown > best[at + 1]:
+            if not starts.get(text[at]) and score + self.unknown > best[at + 1]:
                 raw = text[at].encode("utf-8", "surrogatepass")
                 ids = tuple(self.bytes_.get(b, self.unknown_id) for b in raw) if self.bytes_ else (self.unknown_id,)
                 best[at + 1], back[at + 1] = score + self.unknown, (at, ids)
-            for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-                found = self.pieces.get(text[at:end])
-                if found and score + found[1] > best[end]:
-                    best[end], back[end] = score + found[1], (at, (found[0],))
-        return np.array(best), back
+            for end in range(at + 1, n + 1):
+                found = starts.get(text[at:end], ())
+                if found:
+                    if score + found[1] > best[end]:
+                        best[end], back[end] = score + found[1], (at, (found[0],))
+                elif found is not None:
+                    break
+        return best, back
 
     def traced(self, back: list[tuple[int, tuple[int, ...]]], end: int, start: int) -> list[int]:
         parts = []
@@ -90,9 +97,9 @@ class Lattice:
     def solve(self, word: str) -> tuple[float, list[int]]:
         if word not in self.solved:
             best, back = self.forward(word, 0, len(word))
-            if len(self.solved) >= WORDS_KEPT:
+            if len(self.solved) >= SOLVED_KEPT:
                 self.solved.clear()
-            self.solved[word] = float(best[-1]), self.traced(back, len(word), 0)
+            self.solved[word] = best[-1], self.traced(back, len(word), 0)
         return self.solved[word]
 
     def encode(self, text: str) -> bytes:
@@ -121,7 +128,7 @@ class Lattice:
         tail = None
         if not whole_:
             inner = sum(self.solve(w)[0] for w in words)
-            ends = self.forward(text[last:], 0, size - last)[0] if last < size else np.array([0.0])
+            ends = np.array(self.forward(text[last:], 0, size - last)[0] if last < size else [0.0])
             tail = inner + ends[size - last:size - last + n]
         for way in range(min(n, (size if whole_ else first) + 1)):
             if whole_:
@@ -152,8 +159,12 @@ class _Ids(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        best, back = self.lattice.forward(word, 0, len(word))
-        self[word] = ids = np.array(self.lattice.traced(back, len(word), 0), "<i4").tobytes()
+        end = word[-2:]
+        if len(word) > 2 and end not in self.lattice.pairs:  # no piece reaches over the last place
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = np.array(self.lattice.traced(self.lattice.forward(word, 0, len(word))[1], len(word), 0), "<i4").tobytes()
+        self[word] = ids
         return ids
 
 

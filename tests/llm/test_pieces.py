@@ -16,7 +16,7 @@ def sequential(lattice, text):
     """Plain left-to-right search over the whole text: score and ids."""
     s = "▁" + text.replace(" ", "▁") if text else ""
     best, back = lattice.forward(s, 0, len(s))
-    return float(best[-1]), lattice.traced(back, len(s), 0)
+    return best[-1], lattice.traced(back, len(s), 0)
 
 
 def score(lattice, ids):
