@@ -3,8 +3,8 @@
 Every helper first checks how long the longest group is (one partially aggregated
 count).  Groups that fit in a task use a plain window, one shuffle.  Otherwise the
 group is split: along time into blocks of exactly ``rows`` positions with copied
-edge rows, or along values into buckets bounded by global splitters, and the
-pieces are tied together by a small table of per-piece totals.
+edge rows, or along its order into as many intervals of that order as tasks need,
+and the pieces are tied together by a small table of per-piece totals.
 """
 
 from __future__ import annotations
@@ -15,11 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from barloom.session import rows_per_task
-
-BUCKETS = 256
+from barloom.session import cut_lineage, rows_per_task
 
 
 @dataclass(frozen=True)
@@ -86,43 +83,21 @@ def group_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     return df.withColumn("_all", whole).withColumns({n: F.col(f"_all.{n}") for n in aggs}).drop("_all")
 
 
-def time_cell(df: DataFrame, time: str, grain: str | int) -> Column:
-    """A coarse, order-preserving piece of the time axis."""
-    if isinstance(df.schema[time].dataType, T.NumericType):
-        width = grain if isinstance(grain, int) else 1024
-        return F.floor(F.col(time) / F.lit(width))
-    return F.date_trunc(grain if isinstance(grain, str) else "month", F.col(time))
-
-
 def _offsets(cells: DataFrame, by: Sequence[str], order: Sequence[str], n: str, out: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return cells.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
 
 
 def positions(
-    df: DataFrame, by: Sequence[str], time: str, out: str = "pos", grain: str | int = "month",
-    rows: int | None = None, longest: int | None = None,
+    df: DataFrame, by: Sequence[str], time: str, out: str = "pos", rows: int | None = None, longest: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its key, in time order."""
-    if fits(df, by, rows, longest):
-        w = Window.partitionBy(*by).orderBy(time)
-        return df.withColumn(out, F.row_number().over(w) - 1)
-    cut = df.withColumn("__cell", time_cell(df, time, grain))
-    sizes = cut.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    base = _offsets(sizes, by, ["__cell"], "__n", "__base").drop("__n")
-    w = Window.partitionBy(*by, "__cell").orderBy(time)
-    local = cut.withColumn("__rn", F.row_number().over(w) - 1)
-    return (
-        attach(local, base, [*by, "__cell"])
-        .withColumn(out, (F.col("__base") + F.col("__rn")).cast("int"))
-        .drop("__cell", "__base", "__rn")
-    )
+    return ordered(df, by, [time], out, rows=rows, longest=longest).withColumn(out, F.col(out) - 1)
 
 
 def along_time(
     df: DataFrame, *stages: Stage, by: Sequence[str] = ("symbol",), time: str = "date",
-    back: int = 0, ahead: int = 0, rows: int | None = None, grain: str | int = "month",
-    drop: Sequence[str] = (), longest: int | None = None,
+    back: int = 0, ahead: int = 0, rows: int | None = None, drop: Sequence[str] = (), longest: int | None = None,
 ) -> DataFrame:
     """Evaluate bounded row frames per key.
 
@@ -135,7 +110,7 @@ def along_time(
     if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(time)
         return _apply(df, stages, Line(w, F.row_number().over(w) - 1)).drop(*drop)
-    placed = positions(df, by, time, "__at", grain, rows, longest)
+    placed = positions(df, by, time, "__at", rows, longest)
     own = F.floor(F.col("__at") / rows)
     into = F.col("__at") % rows
     homes = F.array_compact(F.array(
@@ -157,16 +132,14 @@ _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 def running(
     df: DataFrame, parts: dict[str, tuple[str, Column]], by: Sequence[str] = ("symbol",),
-    time: str = "date", rows: int | None = None, grain: str | int = "month",
-    exclusive: bool = False, longest: int | None = None,
+    time: str = "date", rows: int | None = None, exclusive: bool = False, longest: int | None = None,
 ) -> DataFrame:
     """Running sum / max / min from the first row of the key to the current one."""
     end = -1 if exclusive else 0
     if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({n: _COMBINE[k](e).over(w) for n, (k, e) in parts.items()})
-    cut = df.withColumns({f"_in_{n}": e for n, (_, e) in parts.items()})
-    cut = cut.withColumn("__cell", time_cell(df, time, grain))
+    cut = _ranged(df.withColumns({f"_in_{n}": e for n, (_, e) in parts.items()}), by, [time], rows)
     totals = cut.groupBy(*by, "__cell").agg(
         *[_COMBINE[k](f"_in_{n}").alias(f"_t_{n}") for n, (k, _) in parts.items()])
     prior = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -181,24 +154,15 @@ def running(
     return out.drop("__cell", *[f"_{p}_{n}" for n in parts for p in ("in", "c")])
 
 
-def _code(df: DataFrame, col: str) -> Column:
-    """A number that keeps the order of the column (strings by their first bytes)."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(col, 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_seconds(F.col(col).cast("timestamp")).cast("double")
-    return F.col(col).cast("double")
+def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """The rows with ``__cell``: numbered intervals of the total order by key, then by all order columns together.
 
-
-def _bucketed(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Order-preserving bucket of a value; splitters are global, so that no bucket of
-    any key holds more than about one part in BUCKETS of all rows (ties aside)."""
-    code = _code(df, col)
-    cuts = df.select(F.percentile_approx(
-        code, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(10000))).scalar()
-    marked = df.withColumn("_cuts", cuts)  # at most 255 numbers
-    return marked.withColumn(out, F.size(F.filter("_cuts", lambda s: s < code))).drop("_cuts")
+    There are as many cells as tasks of ``rows`` rows need, bounded by sampled splitters of full values; rows that agree in key and
+    order share one. Bounds are drawn once, so the numbered rows are written before anything is computed from them.
+    """
+    size = rows or rows_per_task(df.sparkSession)
+    cells = max(1, -(-df.count() // size))
+    return cut_lineage(df.repartitionByRange(cells, *by, *order).withColumn("__cell", F.spark_partition_id()))
 
 
 def ordered(
@@ -208,19 +172,17 @@ def ordered(
     """1-based ordinal in the key under a total order, and optionally the key's size."""
     if fits(df, by, rows, longest):
         w = Window.partitionBy(*by).orderBy(*order)
-        df = df.withColumn(out, F.row_number().over(w))
+        df = df.withColumn(out, F.row_number().over(w).cast("bigint"))
         return df if total is None else df.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    cells = [f"__b{i}" for i in range(len(order))]
-    for col, cell in zip(order, cells):
-        df = _bucketed(df, col, cell)
-    sizes = df.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("__n"))
-    base = _offsets(sizes, by, cells, "__n", "__base")
+    cut = _ranged(df, by, order, rows)
+    sizes = cut.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    base = _offsets(sizes, by, ["__cell"], "__n", "__base")
     if total is not None:
         base = group_stats(base, by, **{total: F.sum("__n")})
-    w = Window.partitionBy(*by, *cells).orderBy(*order)
-    local = df.withColumn("__rn", F.row_number().over(w))
-    joined = attach(local, base.drop("__n"), [*by, *cells])
-    return joined.withColumn(out, (F.col("__base") + F.col("__rn")).cast("int")).drop("__base", "__rn", *cells)
+    w = Window.partitionBy(*by, "__cell").orderBy(*order)
+    local = cut.withColumn("__rn", F.row_number().over(w))
+    joined = attach(local, base.drop("__n"), [*by, "__cell"])
+    return joined.withColumn(out, F.col("__base") + F.col("__rn")).drop("__base", "__rn", "__cell")
 
 
 def distribution(
@@ -235,14 +197,14 @@ def distribution(
             "below": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
             "total": F.sum("n").over(Window.partitionBy(*by)),
         })
-    cut = _bucketed(counts, col, "__b0")
-    sizes = cut.groupBy(*by, "__b0").agg(F.sum("n").alias("__n"))
-    base = group_stats(_offsets(sizes, by, ["__b0"], "__n", "__base"), by, total=F.sum("__n"))
-    w = Window.partitionBy(*by, "__b0").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    cut = _ranged(counts, by, [col], rows)
+    sizes = cut.groupBy(*by, "__cell").agg(F.sum("n").alias("__n"))
+    base = group_stats(_offsets(sizes, by, ["__cell"], "__n", "__base"), by, total=F.sum("__n"))
+    w = Window.partitionBy(*by, "__cell").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("__in", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return (
-        attach(local, base.drop("__n"), [*by, "__b0"])
-        .withColumn("below", F.col("__base") + F.col("__in")).drop("__b0", "__base", "__in")
+        attach(local, base.drop("__n"), [*by, "__cell"])
+        .withColumn("below", F.col("__base") + F.col("__in")).drop("__cell", "__base", "__in")
     )
 
 

@@ -324,7 +324,7 @@ def forest_score(
     df: DataFrame, forest: DataFrame, features: Sequence[str], init: float = 0.0, step: float | None = None, out: str = "pred",
     inline_nodes: int = 400,
 ) -> DataFrame:
-    """init + sum(step * leaf): NULL and x <= split go left.  Small forests become one nested
+    """init + sum(step * leaf): NULL, NaN and x <= split go left.  Small forests become one nested
     expression; larger ones run as an Arrow function over column batches."""
     trees = _trees(forest)
     size = sum(len(t) for t in trees.values())
@@ -336,7 +336,7 @@ def forest_score(
             if _leafy(node):
                 return lit(node["leaf_value"] or 0.0)
             x = F.col(features[node["feature_idx"]])
-            return F.when(x.isNull() | (x <= lit(node["split_value"])), walk(t, node["left"])).otherwise(walk(t, node["right"]))
+            return F.when(x.isNull() | F.isnan(x) | (x <= lit(node["split_value"])), walk(t, node["left"])).otherwise(walk(t, node["right"]))
 
         total: Column = lit(init)
         for t in trees.values():

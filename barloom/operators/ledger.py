@@ -31,7 +31,7 @@ def fills_to_positions(fills: DataFrame, order: str = "seq", *, by: Sequence[str
     """
     size = longest_group(fills, by)
     signed = F.when(F.col("side") == "buy", F.col("_q")).otherwise(-F.col("_q"))
-    rows = running(valid_fills(fills), {"_run": ("sum", signed)}, by=by, time=order, longest=size, grain=BLOCK)
+    rows = running(valid_fills(fills), {"_run": ("sum", signed)}, by=by, time=order, longest=size)
     buy = F.col("side") == "buy"
     rows = rows.withColumn("_after", F.when(F.abs("_run") < FLAT, lit(0)).otherwise(F.col("_run")))
     rows = along_time(rows, {

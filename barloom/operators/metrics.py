@@ -175,7 +175,7 @@ def composite_loss_value(
     """Weighted MSE + pinball + direction cross-entropy + L2 - Sharpe of tanh positions."""
     losses = loss_metrics(df, y, yhat, tau=tau, by=by).select(*by, "mse", "pinball", "logloss")
     more = finite_pairs(df, y, yhat).groupBy(*by).agg(
-        F.avg(F.col(yhat) * F.col(yhat)).alias("l2"), torch_sharpe(F.tanh(yhat) * F.col(y)).alias("sharpe"))
+        F.avg(F.col(yhat) * F.col(yhat)).alias("l2"), damped_sharpe(F.tanh(yhat) * F.col(y)).alias("sharpe"))
     value = (lit(w_mse) * F.col("mse") + lit(w_pinball) * F.col("pinball") + lit(w_direction) * F.col("logloss")
              + lit(w_l2) * F.col("l2") - lit(w_sharpe) * F.col("sharpe"))
     return losses.join(more, list(by)).select(*by, value.alias("loss"))
@@ -199,14 +199,14 @@ def rank_composite_value(
 
 # ---- return series -----------------------------------------------------------------------
 
-def torch_sharpe(r: Column) -> Column:
+def damped_sharpe(r: Column) -> Column:
     """Sharpe with 1e-6 added to the sample variance; 0 under two rows or without variance."""
     v = F.var_samp(r)
     return F.when((F.count(r) < 2) | (v < 1e-12), lit(0)).otherwise(F.sqrt(lit(ANNUAL)) * F.avg(r) / F.sqrt(v + lit(1e-6)))
 
 
 def sharpe(df: DataFrame, ret: str, mode: str = "pop", rf: float = 0.0, *, by: Sequence[str] = ("strategy",)) -> DataFrame:
-    value = torch_sharpe(F.col(ret)) if mode == "torch" else sharpe_of(F.col(ret), mode, rf)
+    value = damped_sharpe(F.col(ret)) if mode == "damped" else sharpe_of(F.col(ret), mode, rf)
     return df.groupBy(*by).agg(value.alias("sharpe"))
 
 
@@ -304,7 +304,7 @@ def performance_deltas(table: DataFrame, strategy: str, benchmark: str) -> DataF
 def strategy_sharpe_of_positions(df: DataFrame, pred: str, actual: str, form: str = "tanh", *, by: Sequence[str] = FOLD) -> DataFrame:
     """Sharpe of tanh(pred) * actual or sign(pred) * actual."""
     pos = F.tanh(pred) if form == "tanh" else F.signum(pred)
-    return df.groupBy(*by).agg(torch_sharpe(pos * F.col(actual)).alias("sharpe"))
+    return df.groupBy(*by).agg(damped_sharpe(pos * F.col(actual)).alias("sharpe"))
 
 
 def portfolio_sharpe(df: DataFrame, weight: str, ret: str, risk_free: float = 0.02, freq: int = 252, *, by: Sequence[str] = FOLD, time=TIME) -> DataFrame:

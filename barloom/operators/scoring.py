@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import lit
-from barloom.functions.grouping import attach, positions
+from barloom.functions.grouping import attach, group_stats, positions
 from barloom.operators.metrics import daily_ic_series, rolling_ic, spearman_ic
 
 FOLD, TIME = ("fold",), "date"
@@ -55,8 +55,16 @@ def gram_sums(df: DataFrame, cols: Sequence[str], *, by: Sequence[str] = FOLD, f
 
 
 def ridge_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, *, by: Sequence[str] = FOLD) -> DataFrame:
-    """Ridge with an unpenalised intercept for every key at once: n, intercept, coef."""
+    """Ridge with an unpenalised intercept for every key at once: n, intercept, coef.
+
+    Columns are summed around their means per key, so that features with large means (prices, volumes) keep their digits.
+    """
     k = len(features)
+    columns = [*features, y]
+    used = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns)
+    means = [f"_mean_{i}" for i in range(k + 1)]
+    around = group_stats(used, by, **{m: F.avg(c) for m, c in zip(means, columns)})
+    centred = around.select(*by, *[(F.col(c) - F.col(m)).alias(c) for m, c in zip(means, columns)])
 
     @F.pandas_udf("n double, intercept double, coef array<double>")
     def solve(grams: pd.Series) -> pd.DataFrame:
@@ -71,8 +79,17 @@ def ridge_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0
             rows.append((n, my - mx @ w, w))
         return pd.DataFrame(rows, columns=["n", "intercept", "coef"])
 
-    solved = gram_sums(df, [*features, y], by=by).withColumn("_s", solve("gram"))
-    return solved.select(*by, F.col("_s.n").cast("long").alias("n"), "_s.intercept", "_s.coef")
+    solved = gram_sums(centred, columns, by=by).withColumn("_s", solve("gram"))
+    solved = _with_means(solved, used, means, columns, by)
+    moved = F.col("_s.intercept") + F.col(means[k])
+    for i in range(k):
+        moved = moved - F.col("_s.coef")[i] * F.col(means[i])
+    return solved.select(*by, F.col("_s.n").cast("long").alias("n"), moved.alias("intercept"), "_s.coef")
+
+
+def _with_means(models: DataFrame, used: DataFrame, means: Sequence[str], columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    table = used.groupBy(*by).agg(*[F.avg(c).alias(m) for m, c in zip(means, columns)])
+    return attach(models, table, by) if by else models.withColumns({m: table.select(m).scalar() for m in means})
 
 
 def coefficients(models: DataFrame, features: Sequence[str], *, by: Sequence[str] = FOLD) -> DataFrame:
@@ -134,12 +151,12 @@ def gbt_score(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     return model.transform(rows).drop("_x")
 
 
-# The five-point grid, as (maxDepth, stepSize).
-GBT_GRID = ((3, 0.05), (4, 0.03), (4, 0.1), (5, 0.03), (5, 0.05))
+# The five-point grid, as (trees, depth, step).
+GBT_GRID = ((200, 3, 0.02), (300, 4, 0.03), (400, 5, 0.05), (500, 3, 0.01), (300, 6, 0.03))
 
 
 def hp_grid_by_sharpe(
-    train: DataFrame, val: DataFrame, features: Sequence[str], y: str, grid: Sequence[tuple[int, float]] = GBT_GRID, **params,
+    train: DataFrame, val: DataFrame, features: Sequence[str], y: str, grid: Sequence[tuple[int, int, float]] = GBT_GRID, **params,
 ) -> DataFrame:
     """Validation long-short Sharpe for each grid point, best first."""
     from functools import reduce
@@ -147,10 +164,10 @@ def hp_grid_by_sharpe(
     from barloom.operators.portfolio import long_short_daily, long_short_summary
 
     parts = []
-    for depth, step in grid:
-        model = gbt_fit(train, features, y, maxDepth=depth, stepSize=step, **params)
+    for trees, depth, step in grid:
+        model = gbt_fit(train, features, y, maxIter=trees, maxDepth=depth, stepSize=step, **params)
         scored = gbt_score(model, val, features)
-        parts.append(long_short_summary(long_short_daily(scored, "pred", y)).withColumns({"max_depth": F.lit(depth), "step": F.lit(step)}))
+        parts.append(long_short_summary(long_short_daily(scored, "pred", y)).withColumns({"trees": F.lit(trees), "max_depth": F.lit(depth), "step": F.lit(step)}))
     return reduce(lambda a, b: a.unionByName(b), parts).orderBy(F.desc("sharpe"))
 
 
@@ -198,8 +215,6 @@ def time_decay_blend(
     *, by: Sequence[str] = ("symbol",), time=TIME,
 ) -> DataFrame:
     """w * a + (1 - w) * b with w = sigmoid(alpha * exp(-beta * tau) + gamma), tau = t / (T - 1)."""
-    from barloom.functions.grouping import group_stats
-
     placed = group_stats(positions(df, by, time, "_p"), by, _n=F.count(F.lit(1)))
     tau = F.col("_p") / F.greatest(F.col("_n") - 1, F.lit(1))
     w = lit(1) / (lit(1) + F.exp(-(lit(alpha) * F.exp(lit(-beta) * tau) + lit(gamma))))
@@ -208,7 +223,7 @@ def time_decay_blend(
 
 # ---- soft ranks ------------------------------------------------------------------------------
 
-EXACT_ROWS, GRID = 2048, 512  # fixed values: largest group ranked exactly, points of the grid
+GRID = 512  # fixed value: points of the grid
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -216,18 +231,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def soft_rank(
-    df: DataFrame, cols: Sequence[str], temperature: float = 0.1, prefix: str = "soft_rank_", *, by: Sequence[str] = (TIME,),
+    df: DataFrame, cols: Sequence[str], temperature: float = 0.1, prefix: str = "soft_rank_", method: str = "exact",
+    *, by: Sequence[str] = (TIME,),
 ) -> DataFrame:
     """sum_j sigmoid((x_i - x_j) / temperature) per key.
 
-    Keys of at most 2048 rows are ranked exactly, as one array each.  Larger keys use the smoothed
-    distribution at 512 points between their extremes, summed by tasks and interpolated.
+    ``method="exact"`` compares all rows of a key as one array, for keys of bounded size such as the symbols of a date.
+    ``method="grid"`` takes the smoothed distribution at 512 points between the extremes of a key of any size, summed by tasks
+    and interpolated.  The size of a key never picks the method.
     """
+    if method not in ("exact", "grid"):
+        raise ValueError(f"no such method: {method}")
     rows = df.dropna(subset=list(cols))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
     sized = attach(rows, sizes, by)
     outs = [f"{prefix}{c}" for c in cols]
-    small = sized.filter(F.col("_n") <= EXACT_ROWS).groupBy(*by).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
+    if method == "grid":
+        for c, o in zip(cols, outs):
+            sized = _grid_rank(sized, c, o, temperature, by)
+        return sized.select(*df.columns, *outs)
+    small = rows.groupBy(*by).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
 
     @F.pandas_udf("array<double>")
     def exact(groups: pd.Series) -> pd.Series:
@@ -238,12 +261,8 @@ def soft_rank(
         return groups.map(one)
 
     ranked = small.withColumns({o: exact(F.col("_rows")[c]) for c, o in zip(cols, outs)})
-    near = ranked.select(F.explode(F.arrays_zip("_rows", *outs)).alias("_z")).select(
+    return ranked.select(F.explode(F.arrays_zip("_rows", *outs)).alias("_z")).select(
         "_z._rows.*", *[F.col(f"_z.{o}").alias(o) for o in outs])
-    large = sized.filter(F.col("_n") > EXACT_ROWS)
-    for c, o in zip(cols, outs):
-        large = _grid_rank(large, c, o, temperature, by)
-    return near.unionByName(large.select(*df.columns, *outs))
 
 
 def _grid_rank(df: DataFrame, col: str, out: str, temperature: float, by: Sequence[str]) -> DataFrame:
@@ -253,7 +272,7 @@ def _grid_rank(df: DataFrame, col: str, out: str, temperature: float, by: Sequen
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, part in pdf.groupby(list(by), sort=False):
+            for key, part in pdf.groupby(list(by), sort=False, dropna=False):
                 q = np.linspace(part[lo].iloc[0], part[hi].iloc[0], GRID)
                 x = part[col].to_numpy(float)
                 total = sum(_sigmoid((q[None, :] - x[i:i + 2048, None]) / temperature).sum(axis=0) for i in range(0, len(x), 2048))
@@ -273,9 +292,9 @@ def _grid_rank(df: DataFrame, col: str, out: str, temperature: float, by: Sequen
     return attach(df, curve, by).withColumn(out, value).drop("_curve")
 
 
-def rankic_value(df: DataFrame, y: str, yhat: str, temperature: float = 0.1, *, by: Sequence[str] = (TIME,)) -> DataFrame:
+def rankic_value(df: DataFrame, y: str, yhat: str, temperature: float = 0.1, method: str = "exact", *, by: Sequence[str] = (TIME,)) -> DataFrame:
     """1 - correlation of the soft ranks per key."""
-    ranked = soft_rank(df.select(*by, y, yhat), [y, yhat], temperature, "_k_", by=by)
+    ranked = soft_rank(df.select(*by, y, yhat), [y, yhat], temperature, "_k_", method, by=by)
     a, b = F.col(f"_k_{y}"), F.col(f"_k_{yhat}")
     n = F.count(F.lit(1))
     cov, va, vb = F.covar_pop(a, b) * n, F.var_pop(a) * n, F.var_pop(b) * n

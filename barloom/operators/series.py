@@ -27,15 +27,9 @@ ADF_CRITICAL = ((-3.75, -3.00, -2.63), (-3.58, -2.93, -2.60), (-3.51, -2.89, -2.
 
 
 def adf_p(t: float, n_obs: int) -> float:
-    """p value interpolated between the critical values; 0.5 above the 10 % one."""
+    """p value interpolated between the critical values; 0.001 from twice the 1 % one down, 0.5 above the 10 % one."""
     c1, c5, c10 = ADF_CRITICAL[int(np.searchsorted(ADF_SIZES, n_obs))]
-    if t > c10:
-        return 0.5
-    if t <= c1:
-        return 0.001 + 0.009 * (1 - min(1.0, (c1 - t) / -c1))
-    if t <= c5:
-        return 0.01 + 0.04 * (c1 - t) / (c1 - c5)
-    return 0.05 + 0.05 * (c5 - t) / (c5 - c10)
+    return float(np.interp(t, (2 * c1, c1, c5, c10), (0.001, 0.01, 0.05, 0.10), right=0.5))
 
 
 def _solve_adf(gram: np.ndarray) -> tuple[float, float]:
@@ -43,17 +37,14 @@ def _solve_adf(gram: np.ndarray) -> tuple[float, float]:
     k = int(round(len(gram) ** 0.5))
     g = np.asarray(gram).reshape(k, k)
     xx, xy, yy, n = g[:-1, :-1], g[:-1, -1], g[-1, -1], int(round(g[0, 0]))
-    try:
-        inv = np.linalg.inv(xx)
-    except np.linalg.LinAlgError:
+    if np.linalg.matrix_rank(xx) < k - 1:
         return 0.0, 1.0
-    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    rss = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
-    se = np.sqrt(max(rss / (n - (k - 1)) * inv[1, 1], 0.0))
-    if se < 1e-15:
+    beta = np.linalg.solve(xx, xy)
+    spread = (yy - beta @ xy) / (n - (k - 1)) * np.linalg.inv(xx)[1, 1]
+    if spread < 1e-30:
         return 0.0, 0.0
-    t = float(beta[1] / se)
-    return t, float(adf_p(t, n))
+    t = float(beta[1] / np.sqrt(spread))
+    return t, adf_p(t, n)
 
 
 def adf_test(df: DataFrame, col: str, *, by: Sequence[str] = KEY, time=TIME) -> DataFrame:
@@ -62,7 +53,7 @@ def adf_test(df: DataFrame, col: str, *, by: Sequence[str] = KEY, time=TIME) ->
     The regression is fitted from cross products that tasks add up locally, so no task
     needs a whole series.
     """
-    rows = group_stats(df.filter(F.col(col).isNotNull()).select(*by, time, col), by, _n=F.count(F.lit(1)))
+    rows = group_stats(df.filter(F.col(col).isNotNull()).select(*by, time, col), by, _n=F.count(F.lit(1)), _m=F.avg(col))
     lag = F.least(F.greatest(F.floor(F.cbrt((F.col("_n") - 1).cast("double")) + 1e-9), F.lit(1)), F.floor((F.col("_n") - 1) / 3)).cast("int")
     rows = rows.withColumn("_k", lag)
     usable = (F.col("_n") >= 10) & (F.col("_n") - 1 - F.col("_k") > F.col("_k") + 2)
@@ -74,7 +65,8 @@ def adf_test(df: DataFrame, col: str, *, by: Sequence[str] = KEY, time=TIME) ->
         {"_past": lambda t: F.reverse(F.collect_list("_d").over(t.between(-widest, -1)))},
         by=by, time=time, back=widest + 1,
     ).filter(F.col("_p") > F.col("_k"))
-    row = F.concat(F.array(lit(1), F.col("_lvl")), F.slice("_past", 1, F.col("_k")), F.array(F.col("_d")))
+    # Levels around their mean: the constant takes up the shift, and sums of squares keep their digits.
+    row = F.concat(F.array(lit(1), F.col("_lvl") - F.col("_m")), F.slice("_past", 1, F.col("_k")), F.array(F.col("_d")))
     keys = [f for f in df.schema.fields if f.name in by]
     schema = T.StructType([*keys, T.StructField("gram", T.ArrayType(T.DoubleType()))])
 
@@ -162,15 +154,24 @@ def wavelet_denoise(
     df: DataFrame, col: str, level: int = 3, mode: str = "soft", out: str = "denoised", *, by: Sequence[str] = KEY, time=TIME,
 ) -> DataFrame:
     """db4 shrinkage of the whole series with the universal threshold, as joins and
-    aggregates over coefficients (it looks ahead; see the causal form)."""
-    placed = positions(df.filter(F.col(col).isNotNull()), by, time, "_i")
+    aggregates over coefficients (it looks ahead; see the causal form).  Short series take fewer levels;
+    a filter spans eight rows, so shorter ones than that are not covered."""
+    placed = group_stats(positions(df.filter(F.col(col).isNotNull()), by, time, "_i"), by, _N0=F.count(F.lit(1)))
+    shallow = F.greatest(F.lit(1), F.floor(F.log2(F.col("_N0").cast("double"))) - 1)  # for series under 2^(level + 1) rows
+    depth = F.when(F.col("_N0") < 2 ** (level + 1), F.least(shallow, F.lit(level))).otherwise(level)
+    depths = sorted(r[0] for r in placed.select(depth.cast("int")).distinct().collect()) or [level]  # at most ``level`` numbers
+    return reduce(lambda a, b: a.unionByName(b), [_denoised(placed.filter(depth == d), col, d, mode, out, by) for d in depths])
+
+
+def _denoised(placed: DataFrame, col: str, level: int, mode: str, out: str, by: Sequence[str]) -> DataFrame:
+    """Series that all go ``level`` levels deep."""
     approx = placed.select(*by, F.col("_i").cast("long").alias("i"), F.col(col).alias("x"))
-    sizes = approx.groupBy(*by).agg(F.count(F.lit(1)).alias("_N0"))
     details = []
     for _ in range(level):
         approx, detail = _split_level(approx, by)
         details.append(detail)
     finest = details[0].withColumn("d", F.abs("d"))
+    sizes = placed.select(*by, "_N0").distinct()
     noise = quantiles(finest, by, "d", [0.5], "_q").join(sizes, list(by)).select(
         *by, (F.col("_q")[0] / lit(0.6745) * F.sqrt(2 * F.ln(F.col("_N0").cast("double")))).alias("_thr"))
     for detail in reversed(details):
@@ -178,8 +179,8 @@ def wavelet_denoise(
         size = F.abs("d")
         kept = F.signum("d") * F.greatest(size - F.col("_thr"), lit(0)) if mode == "soft" else F.when(size >= F.col("_thr"), F.col("d")).otherwise(lit(0))
         approx = _join_level(approx, cut.withColumn("d", kept).drop("_thr"), by)
-    side = approx.select(*by, F.col("i").cast("int").alias("_i"), F.col("x").alias(out))
-    return attach(placed, side, [*by, "_i"]).drop("_i")
+    side = approx.select(*by, F.col("i").alias("_i"), F.col("x").alias(out))
+    return attach(placed.drop("_N0"), side, [*by, "_i"]).drop("_i")
 
 
 def _analyse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,12 +232,12 @@ def causal_wavelet_denoise(
     sent = sized.filter(F.col("_n") > min_window).select(
         *by, F.col("_i"), F.col(col).alias("_x"), F.explode(F.sequence(F.greatest(own, F.lit(min_window // rows)), last)).alias("_g"))
     keys = [f for f in df.schema.fields if f.name in by]
-    schema = T.StructType([*keys, T.StructField("_i", T.IntegerType()), T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*keys, T.StructField("_i", T.LongType()), T.StructField(out, T.DoubleType())])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         x, lo = pdf["_x"].to_numpy(float), max(int(key[-1]) * rows, min_window)
-        spots = np.arange(lo, len(x), dtype="int32")
+        spots = np.arange(lo, len(x))
         frame = pd.DataFrame({"_i": spots, out: [denoise_array(x[:i + 1], level)[-1] for i in spots]})
         for name, value in zip(by, key):
             frame[name] = value

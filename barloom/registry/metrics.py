@@ -105,10 +105,10 @@ def strategies(s, sf):
 
 @case("eval08_sharpe", """SELECT strategy, avg(r) / greatest(stddev_pop(r), 1e-10) * sqrt(252) AS pop, avg(r) / stddev_samp(r) * sqrt(252) AS sample,
       avg(r) / (stddev_samp(r) + 1e-10) * sqrt(252) AS eps, (avg(r) - 0.02 / 252) / stddev_pop(r) * sqrt(252) AS strict,
-      sqrt(252) * avg(r) / sqrt(var_samp(r) + 1e-6) AS torch FROM strat GROUP BY 1""", "daily", "pop sample eps strict torch", [STRAT])
+      sqrt(252) * avg(r) / sqrt(var_samp(r) + 1e-6) AS damped FROM strat GROUP BY 1""", "daily", "pop sample eps strict damped", [STRAT])
 def _(s, sf):
     d, out = strategies(s, sf), None
-    for mode, rf in (("pop", 0.0), ("sample", 0.0), ("eps", 0.0), ("strict", 0.02), ("torch", 0.0)):
+    for mode, rf in (("pop", 0.0), ("sample", 0.0), ("eps", 0.0), ("strict", 0.02), ("damped", 0.0)):
         one = M.sharpe(d, "r", mode, rf).withColumnRenamed("sharpe", mode)
         out = one if out is None else out.join(one, "strategy")
     return out

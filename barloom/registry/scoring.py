@@ -82,7 +82,7 @@ def _(s, sf):
 @case("fit06_hp_grid_by_sharpe")
 def _(s, sf):
     d = X.scores(s, sf)
-    return S.hp_grid_by_sharpe(d.filter("fold < 4"), d.filter("fold >= 4"), FEATS, "y", grid=((2, 0.1), (3, 0.1)), maxIter=3)
+    return S.hp_grid_by_sharpe(d.filter("fold < 4"), d.filter("fold >= 4"), FEATS, "y", grid=[(t // 100, d, e) for t, d, e in S.GBT_GRID])
 
 
 @case("spl10_cv_runner", """SELECT fold, CASE WHEN count(*) >= 10 THEN avg(CASE WHEN sign(y) = sign(pred) THEN CAST(1 AS DOUBLE) ELSE 0 END) ELSE 0.5 END AS direction_accuracy
@@ -307,7 +307,7 @@ _GRID = [("lim", "SELECT fold, count(*) AS n, min(pred_a) AS lo, max(pred_a) AS
       SELECT symbol, date, fold, (pred_a - lo) / (hi - lo) * 511 AS p, CAST(greatest(least(ceil((pred_a - lo) / (hi - lo) * 511), 511), 1) AS BIGINT) AS r FROM scores JOIN lim USING (fold)) t
       JOIN curve a ON a.fold = t.fold AND a.k = r - 1 JOIN curve b ON b.fold = t.fold AND b.k = r""", "scores", "soft_rank_pred_a", _GRID)
 def _(s, sf):
-    return S.soft_rank(X.scores(s, sf), ["pred_a"], by=["fold"]).select("symbol", "date", "soft_rank_pred_a")
+    return S.soft_rank(X.scores(s, sf), ["pred_a"], method="grid", by=["fold"]).select("symbol", "date", "soft_rank_pred_a")
 
 
 @case("fit23_rankic_value", "SELECT date, rankic_loss FROM rankic", "scores", "rankic_loss", SOFT)

@@ -37,7 +37,14 @@ def rows_per_task(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where the cluster keeps checkpoints; a local one only when none is set."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='barloom-')}/{uuid.uuid4().hex}"
+    return f"{base or _own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """A local folder when all tasks run on this machine; elsewhere the cluster has to name one that its executors share."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="barloom-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -50,5 +57,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.mkdtemp(prefix="barloom-"), "cut"))
+        context.setCheckpointDir(folder or os.path.join(_own_folder(spark), "cut"))
     return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import stats
-from barloom.operators import boosting, inference, labels, ledger, metrics, panel, rolling, splits
+from barloom.operators import boosting, inference, labels, ledger, metrics, panel, rolling, scoring, series, splits
 from barloom.operators import returns as R
 from barloom.sources import store
 from tests.helpers import same, walk
@@ -214,3 +214,26 @@ def test_order_and_partitions_do_not_matter(spark):
 def test_missing_column(spark):
     with pytest.raises(ValueError, match="volume"):
         rolling.base_features(spark.createDataFrame([("A", 1, 1.0)], "symbol string, date int, close double"))
+
+
+def test_ridge_keeps_its_digits_for_large_means(spark):
+    rng = np.random.default_rng(0)
+    x = 1e8 + rng.normal(size=4000)
+    d = spark.createDataFrame(pd.DataFrame({"fold": np.arange(4000) % 2, "x": x, "y": 3 * (x - 1e8) + 5}))
+    for by in (("fold",), ()):
+        for r in scoring.ridge_fit(d, ["x"], "y", 1e-6, by=by).collect():
+            assert abs(r.coef[0] - 3) < 1e-4 and abs(r.intercept + r.coef[0] * 1e8 - 5) < 1e-3
+
+
+def test_nan_goes_left_in_both_forms(spark):
+    node = "tree_id int, node_id int, feature_idx int, split_value double, left int, right int, leaf_value double"
+    forest = spark.createDataFrame([(0, 0, 0, 1.0, 1, 2, None), (0, 1, None, None, -1, -1, -10.0), (0, 2, None, None, -1, -1, 10.0)], node)
+    d = spark.createDataFrame([(float("nan"),), (None,), (0.5,), (2.0,)], "x double")
+    for inline in (400, 0):
+        assert [r.pred for r in boosting.forest_score(d, forest, ["x"], inline_nodes=inline).collect()] == [-10.0, -10.0, -10.0, 10.0]
+
+
+def test_adf_p_is_monotone_and_meets_its_knots():
+    p = [series.adf_p(t, 100) for t in np.linspace(-8, 0, 200)]
+    assert all(a <= b for a, b in zip(p, p[1:]))
+    assert [series.adf_p(t, 100) for t in (-7.02, -3.51, -2.89, -2.58, -2.57)] == [0.001, 0.01, 0.05, 0.1, 0.5]

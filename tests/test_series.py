@@ -83,3 +83,11 @@ def test_garch_fallback(spark):
     assert all(r["degenerate"] for r in fits.collect())
     out = S.garch_forecast(d, fits, "x")
     assert out.count() == 120 and out.filter("forecast <= 0").count() == 0
+
+
+def test_short_series_take_fewer_levels(spark):
+    rng = np.random.default_rng(11)
+    data = {k: rng.normal(size=n).cumsum() for k, n in (("b", 9), ("c", 12), ("d", 15), ("e", 16), ("f", 40))}
+    got = S.wavelet_denoise(frame(spark, data), "x").toPandas().sort_values("date")
+    for k, v in data.items():
+        assert np.allclose(got[got.symbol == k]["denoised"], S.denoise_array(v), atol=1e-9), k

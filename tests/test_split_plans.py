@@ -1,5 +1,6 @@
 """Long groups are cut into pieces; the results must not change."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,32 @@ def test_soft_rank_grid_is_near_exact(spark):
     s = np.sort(x)
     want = (0.5 * (1 + np.tanh((s[:, None] - s[None, :]) / 0.2))).sum(axis=1)
     assert abs(got - want).max() < 1.0
+
+
+def test_long_keys_with_many_values(spark):
+    """20 000 distinct values, a hot key, long shared prefixes, ties and NULLs, cut into pieces of 500 rows."""
+    rng = np.random.default_rng(7)
+    n = 20_000
+    d = spark.createDataFrame(pd.DataFrame({
+        "fold": np.where(rng.random(n) < 0.8, 0, rng.integers(1, 4, n)), "symbol": [f"SUPPLIER#{i:09d}" for i in rng.permutation(n)],
+        "at": np.arange(n), "pred": rng.normal(size=n), "tied": rng.integers(0, 50, n).astype(float), "y": rng.normal(size=n)})).withColumn(
+        "pred", F.when(F.col("at") % 97 > 0, F.col("pred"))).repartition(5)
+
+    def compare(build, keys=("at",)):
+        plain = build().toPandas()
+        spark.conf.set("barloom.rows.per.task", "500")
+        try:
+            split = build().toPandas()
+        finally:
+            spark.conf.unset("barloom.rows.per.task")
+        same(plain, split, keys)
+
+    compare(lambda: G.ordered(d, ["fold"], ["pred", "symbol"], total="n"))
+    compare(lambda: G.ordered(d, ["fold"], ["tied", "symbol"]))
+    compare(lambda: G.ordered(d, [], ["symbol"]))
+    compare(lambda: G.average_rank(d, ["fold"], ["pred", "tied"], counts=True))
+    compare(lambda: G.quantiles(d, ["fold"], "pred", [0.01, 0.5, 0.9]).select("fold", F.col("cuts")[0].alias("a"), F.col("cuts")[2].alias("b")), ("fold",))
+    compare(lambda: G.running(d, {"s": ("sum", F.col("y")), "m": ("max", F.col("pred"))}, ["fold"], "at"))
+    compare(lambda: G.along_time(d, {"s": lambda t: F.sum("y").over(t.last(20))}, by=["fold"], time="at", back=19))
+    compare(lambda: portfolio.long_short_pooled(d.withColumn("date", F.col("at")), "pred", "y"), ("fold",))
+    compare(lambda: portfolio.ensemble_signal_output(d.withColumn("date", F.lit(1)), "pred", by=["fold"]), ("at",))
