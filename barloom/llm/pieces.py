@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from barloom.llm.columns import fresh, stored, whole
 
 SPACE = "▁"
-CHUNK = 16_384
+CHUNK = 65_536
 FANIN = 64
 WORDS_KEPT = 700_000
 SOLVED_KEPT = 100_000
