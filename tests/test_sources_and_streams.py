@@ -65,6 +65,21 @@ def test_stream_positions_equal_batch(spark, tmp_path):
     same(out, ledger.fills_to_positions(batch), ("account", "symbol"), 1e-6)
 
 
+def test_stream_positions_in_any_order_of_arrival(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(*f, 0.0, start + dt.timedelta(seconds=f[2])) for f in random_fills(300)]
+    schema = "account string, symbol string, seq bigint, side string, qty double, price double, filled_qty double, ts timestamp"
+    mixed = [rows[i] for i in np.random.default_rng(3).permutation(300)]
+    late = [(r[0], r[1], 10_000 + r[2], "buy", 1.0, 1.0, 0.0, start - dt.timedelta(days=365)) for r in rows[:3]]
+    for part in (mixed[:100], mixed[100:200] + mixed[:40], mixed[200:], late + mixed[150:170]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(streams.stream_positions(live, "1 hour"), "mixed_books")
+    out = spark.table("mixed_books").toPandas()
+    out = out.loc[out.groupby(["account", "symbol"])["n_fills"].idxmax()]
+    same(out, ledger.fills_to_positions(spark.createDataFrame(rows, schema)), ("account", "symbol"), 1e-6)
+
+
 def test_stream_orders_equal_batch(spark, tmp_path):
     rng = np.random.default_rng(2)
     start = dt.datetime(2024, 1, 1)
