@@ -56,14 +56,17 @@ def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[st
                         F.filter(F.split(whole(F.col(text)), "\n", -1), lambda x: x.rlike(WORD_CHAR)).alias(lines))
     split = split.withColumn(runs, let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: window_hashes(h, F.size(h), RUN)))
     repeated = F.when(F.size(F.array_distinct(runs)) == F.size(runs), F.lit(0).cast("bigint")).otherwise(_repeated(F.col(runs)))
-    counted = split.withColumns({
-        names["n_words"]: n.cast("bigint"),
-        names["word_chars"]: F.length(F.array_join(w, "")).cast("bigint"),
-        names["n_symbols"]: F.regexp_count(whole(F.col(text)), F.lit(SYMBOLS)).cast("bigint"),
-        names["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
-        names["n_repeat_words"]: repeated,
-        names["n_lines"]: F.size(lines).cast("bigint"),
-    }).drop(w, runs, lines)
+    counts = {
+        "n_words": n.cast("bigint"),
+        "word_chars": F.length(F.array_join(w, "")).cast("bigint"),
+        "n_symbols": F.regexp_count(whole(F.col(text)), F.lit(SYMBOLS)).cast("bigint"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
+        "n_repeat_words": repeated,
+        "n_lines": F.size(lines).cast("bigint"),
+    }
+    # One exploded row each: later filters can't be moved below it, where they would count the texts again.
+    once = F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts.items()])))
+    counted = split.select(*docs.columns, once.alias(runs)).select(*docs.columns, *[F.col(f"{runs}.{k}").alias(names[k]) for k in counts])
     failed = (F.col(names["n_words"]) < 20) | (100 * F.col(names["n_repeat_words"]) > 30 * F.col(names["n_words"]))
     return counted.withColumn(names["base_failed"], failed), names
 
