@@ -18,6 +18,7 @@ HEADLINE = (
     "win13_amihud_illiquidity", "xs02_cs_pct_rank", "lab01_triple_barrier_events", "lab05_avg_uniqueness", "spl08_fold_expand",
     "fit01_ridge_fit", "fit02_ridge_per_symbol", "fit05_walk_forward_score", "fit10_grad_histogram", "eval01_spearman_ic",
     "eval02_daily_ic_series", "pf02_long_short_pooled", "pf03_long_short_daily", "pf10_regime_backtest", "led01_fills_to_positions",
+    "eval03_rolling_ic", "fit20_blend_rolling_ic", "win30_garch_filter", "eval27_permutation_test",
 )
 
 
