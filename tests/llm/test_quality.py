@@ -25,7 +25,7 @@ def test_counts(spark, docs):
 
 
 def test_limits_follow_the_source(spark):
-    clean = "word and some more of them " * 3
+    clean = "word and some more of them besides "
     texts = [clean + " ".join(f"q{i}{j}" for j in range(20)) for i in range(300)]
     rows = [(i, t, "en", "plain", 0) for i, t in enumerate(texts)]
     rows += [(1000 + i, t.replace(" ", " | "), "en", "tables", 0) for i, t in enumerate(texts)]
