@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 from uuid import uuid4
 
 import numpy as np
@@ -29,6 +30,7 @@ SPACE = "▁"
 CHUNK = 65_536
 FANIN = 64
 WORDS_KEPT = 700_000
+LONGEST_KEPT = 256
 SOLVED_KEPT = 100_000
 UNKNOWN_COST = 10.0
 NEVER = -np.inf
@@ -157,14 +159,16 @@ class _Ids(dict):
         self.lattice = lattice
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        end = word[-2:]
-        if len(word) > 2 and end not in self.lattice.pairs:  # no piece reaches over the last place
-            ids = self[word[:-1]] + self[word[-1]]
+        pairs = self.lattice.pairs
+        cuts = [0, *[i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs], len(word)]  # no piece reaches over these places
+        if len(cuts) > 2:
+            ids = b"".join([self[word[lo:hi]] for lo, hi in pairwise(cuts)])
         else:
             ids = np.array(self.lattice.traced(self.lattice.forward(word, 0, len(word))[1], len(word), 0), "<i4").tobytes()
-        self[word] = ids
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = ids
         return ids
 
 

@@ -70,3 +70,12 @@ def test_empty_table_and_clashing_columns(spark):
     one = spark.createDataFrame([(1, "a b", "x", 5, 7)] * 2, none.schema)
     got = encode_pieces(one, MODEL, chunk=2).collect()
     assert [(r._raw, r.row, len(r.ids)) for r in got] == [(5, 7, 2)] * 2
+
+
+def test_long_runs_without_spaces(own):
+    for text in ("7" * 5000, "0123456789" * 500, "漢字仮名交文章" * 715, "7x" * 2500, "x" * 5000):
+        fresh_ = Lattice(MODEL)
+        s = "▁" + text
+        best, back = own.forward(s, 0, len(s))
+        assert np.frombuffer(fresh_.encode(s), "<i4").tolist() == own.traced(back, len(s), 0)
+        assert all(len(w) <= 256 for w in fresh_.ids)
