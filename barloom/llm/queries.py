@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import fingerprints, jaccard, lines, mixing, passages, pieces, quality, records, toxicity, url_lists
+from barloom.llm import fingerprints, jaccard, lines, mixing, passages, pieces, quality, records, structure_queries, toxicity, url_lists
 from barloom.llm.columns import stored
 from barloom.session import shared_folder
 
@@ -223,4 +223,7 @@ def op1_url_lists(spark: SparkSession, folder: str) -> DataFrame:
                          (F.size("listed") > 0).alias("blocked"))
 
 
+query("op11_repair", structure_queries.REPAIR_SQL)(structure_queries.op11_repair)
+query("op12_runs")(structure_queries.op12_runs)
+query("op13_passages")(structure_queries.op13_passages)
 QUERIES["pipeline"] = corpus_pipeline.run
