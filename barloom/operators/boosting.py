@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from barloom.functions.grouping import attach, group_stats, longest_group, order
 from barloom.session import cut_lineage, rows_per_task
 
 Loss = Callable[[Column, Column], tuple[Column, Column, Column]]
+HELD = 2**28
 
 
 # ---- losses: (row loss, gradient, hessian) as columns --------------------------------------
@@ -102,10 +104,70 @@ def bin_features(df: DataFrame, bounds: DataFrame, features: Sequence[str], pref
 # ---- histograms and splits -------------------------------------------------------------------------
 
 def grad_histogram(df: DataFrame, bins: Column, *, node: str = "node", grad: str = "grad", hess: str = "hess") -> DataFrame:
-    """Sum of gradients, hessians and rows per (node, feature, bin); ``bins`` is an array
-    column with one bin per feature."""
-    cells = df.select(node, grad, hess, F.posexplode(bins).alias("feature", "bin"))
-    return cells.groupBy(node, "feature", "bin").agg(F.sum(grad).alias("g"), F.sum(hess).alias("h"), F.count(F.lit(1)).alias("n"))
+    """Sum of gradients, hessians and rows per (node, feature, bin); ``bins`` is an array column with one bin per feature.
+
+    Tasks add their rows into one flat array per node, and ship that: the shuffle carries a row per (task, node), not per row and
+    feature. A task holds at most ``HELD`` bytes of arrays before it ships them.
+    """
+    rows = df.select(F.col(node).alias("node"), F.col(grad).cast("double"), F.col(hess).cast("double"), bins.cast("array<int>"))
+    kind = rows.schema["node"].dataType
+    partial = T.StructType([T.StructField("node", kind), T.StructField("features", T.IntegerType()), T.StructField("sums", T.BinaryType())])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes, names = nodes.indices.to_numpy(), nodes.dictionary.to_pylist()
+            g, h = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (1, 2))
+            cells = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            width = int(cells.max(initial=0)) + 1
+            sums = np.empty((len(names), cells.shape[1], width, 3))
+            for i in range(cells.shape[1]):
+                at = codes * width + cells[:, i]
+                for j, weight in enumerate((g, h, None)):
+                    sums[:, i, :, j] = np.bincount(at, weight, len(names) * width).reshape(-1, width)
+            for name, one in zip(names, sums, strict=True):
+                held[name] = _added(held.get(name), one)
+            if sum(a.nbytes for a in held.values()) > HELD:
+                yield _shipped(held, batch.schema.field(0).type)
+                held = {}
+        if held:
+            yield _shipped(held, batch.schema.field(0).type)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, features, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held[name] = _added(held.get(name), np.frombuffer(body.as_buffer()).reshape(features, -1, 3))
+        for name, sums in held.items():
+            feature, at = np.nonzero(sums[:, :, 2])
+            g, h, n = sums[feature, at].T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(at), kind), pa.array(feature, pa.int32()), pa.array(at, pa.int32()), pa.array(g), pa.array(h), pa.array(n.astype(np.int64))],
+                ["node", "feature", "bin", "g", "h", "n"])
+
+    out = T.StructType([T.StructField("node", kind), T.StructField("feature", T.IntegerType()), T.StructField("bin", T.IntegerType()),
+                        T.StructField("g", T.DoubleType()), T.StructField("h", T.DoubleType()), T.StructField("n", T.LongType())])
+    return rows.mapInArrow(fill, partial).repartition("node").mapInArrow(join, out).withColumnRenamed("node", node)
+
+
+def _added(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """The sum of two (feature, bin, 3) arrays, as wide as the wider one."""
+    if a is None:
+        return b.copy()
+    if a.shape[1] < b.shape[1]:
+        a, b = b.copy(), a
+    a[:, :b.shape[1]] += b
+    return a
+
+
+def _shipped(held: dict, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(held), kind), pa.array([a.shape[0] for a in held.values()], pa.int32()), pa.array([a.tobytes() for a in held.values()], pa.binary())],
+        ["node", "features", "sums"])
 
 
 def _score(g: Column, h: Column, l2: float) -> Column:

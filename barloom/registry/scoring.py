@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from barloom.functions.sketches import sketch_boundaries
 from barloom.operators import boosting as B
+from barloom.operators import fold_forests as R
 from barloom.operators import inference as I
 from barloom.operators import metrics as M
 from barloom.operators import panel as P
@@ -72,17 +74,67 @@ def _(s, sf):
     return S.walk_forward_score(folded(s, sf), FEATS, "y")
 
 
+def _indexed(s, sf):
+    return P.date_index(X.scores(s, sf).drop("fold"))
+
+
 @case("fit04_gbt_fit")
 def _(s, sf):
-    d = X.scores(s, sf)
-    model = S.gbt_fit(d.filter("fold < 5"), FEATS, "y", maxIter=5, maxDepth=3)
-    return S.gbt_score(model, d.filter("fold >= 5"), FEATS).select("symbol", "date", "pred")
+    first = wf(s, sf).filter("fold = 0")
+    return R.walk_forward_trees(_indexed(s, sf), first, FEATS, "y")[1].history(s)
+
+
+@case("fit05_walk_forward_trees")
+def _(s, sf):
+    scored, _ = R.walk_forward_trees(_indexed(s, sf), wf(s, sf), FEATS, "y")
+    return scored.select("symbol", "date", "fold", "y", "pred")
+
+
+def _tree_sql(t: int, bins: int = 32, rate: float = 0.3, least: int = 20) -> list[tuple[str, str]]:
+    """Tables of tree t of every fold, two levels deep: b{t}1, b{t}2 (splits), p{t+1} (rows with new predictions), o{t} (nodes)."""
+    def level(rows: str, name: str) -> list[tuple[str, str]]:
+        return [
+            (f"h{name}", f"""SELECT fold, node, feature, bin, sum(2 * (p - y)) AS g, sum(2.0) AS h, count(*) AS n FROM (SELECT fold, node, p, y,
+                unnest([0, 1]) AS feature, unnest([b0, b1]) AS bin FROM {rows} WHERE role = 'train') GROUP BY ALL"""),
+            (f"c{name}", f"""SELECT *, gl * gl / (hl + 1) + (gp - gl) * (gp - gl) / (hp - hl + 1) - gp * gp / (hp + 1) AS gain FROM (
+                SELECT fold, node, feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER q AS gp, sum(h) OVER q AS hp, sum(n) OVER q AS np
+                FROM h{name} WINDOW w AS (PARTITION BY fold, node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY fold, node, feature))"""),
+            (f"b{name}", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, node ORDER BY gain DESC, feature, bin) AS k FROM c{name} WHERE hl > 0 AND hp - hl > 0 AND nl < np)
+                WHERE k = 1 AND gain > 0 AND least(nl, np - nl) >= {least}"""),
+        ]
+
+    step = lambda name: f"CASE WHEN b.gain IS NULL THEN r.node WHEN CASE b.feature WHEN 0 THEN b0 ELSE b1 END <= b.bin THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END"
+    move = lambda rows, name: f"SELECT r.* REPLACE ({step(name)} AS node) FROM {rows} r LEFT JOIN b{name} b ON b.fold = r.fold AND b.node = r.node"
+    return [
+        *level(f"p{t}", f"{t}1"), (f"r{t}1", move(f"p{t}", f"{t}1")), *level(f"r{t}1", f"{t}2"), (f"r{t}2", move(f"r{t}1", f"{t}2")),
+        (f"l{t}", f"SELECT fold, node, -sum(2 * (p - y)) / (sum(2.0) + 1) AS leaf, count(*) AS n FROM r{t}2 WHERE role = 'train' GROUP BY ALL"),
+        (f"p{t + 1}", f"SELECT r.* REPLACE (0 AS node, p + {rate} * leaf AS p) FROM r{t}2 r JOIN l{t} l ON l.fold = r.fold AND l.node = r.node"),
+        (f"o{t}", f"""SELECT fold, {t} AS tree_id, node AS node_id, -1 AS feature_idx, CAST(0 AS DOUBLE) AS split_value, leaf AS leaf_value, n AS num_samples, CAST(0 AS DOUBLE) AS gain FROM l{t}
+            UNION ALL SELECT b.fold, {t}, node, feature, xs[bin + 1], 0, CAST(np AS BIGINT), gain FROM (SELECT * FROM b{t}1 UNION ALL SELECT * FROM b{t}2 WHERE node > 0) b JOIN eg USING (fold, feature)"""),
+    ]
+
+
+_DEEP = [*WFS[:3], ("vx", """SELECT fold, feature, x, row_number() OVER (PARTITION BY fold, feature ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY fold, feature) AS u FROM (
+            SELECT DISTINCT fold, feature, x FROM (SELECT fold, unnest([0, 1]) AS feature, unnest([pred_a, pred_b]) AS x FROM ex WHERE role = 'train'))"""),
+         ("eg", """SELECT fold, feature, list(x ORDER BY x) AS xs FROM vx WHERE k IN (SELECT CAST(floor(s / 32.0 * (u - 1)) AS BIGINT) FROM (SELECT unnest(range(1, 32)) AS s)) GROUP BY ALL"""),
+         ("p0", """SELECT ex.fold, role, y, 0 AS node, my AS p, len(list_filter(a.xs, lambda v: v < pred_a)) AS b0, len(list_filter(b.xs, lambda v: v < pred_b)) AS b1 FROM ex
+            JOIN eg a ON a.fold = ex.fold AND a.feature = 0 JOIN eg b ON b.fold = ex.fold AND b.feature = 1
+            JOIN (SELECT fold, avg(y) AS my FROM ex WHERE role = 'train' GROUP BY fold) m ON m.fold = ex.fold"""), *_tree_sql(0), *_tree_sql(1)]
+
+
+@case("fit05_trees_depth2", "SELECT * FROM o0 UNION ALL SELECT * FROM o1", "days scores", "split_value leaf_value gain", _DEEP)
+def _(s, sf):
+    config = B.BoostConfig(num_trees=2, max_depth=2, learning_rate=0.3, max_bins=32)
+    folds = wf(s, sf)
+    members = [R.Member(r["fold"], r["fold"], config) for r in folds.select("fold").distinct().collect()]
+    forests = R.grow_forests(_indexed(s, sf), folds, FEATS, "y", members, capacity=2**20)
+    return forests.forest(s).select("fold", "tree_id", "node_id", "feature_idx", "split_value", "leaf_value", "num_samples", "gain")
 
 
 @case("fit06_hp_grid_by_sharpe")
 def _(s, sf):
-    d = X.scores(s, sf)
-    return S.hp_grid_by_sharpe(d.filter("fold < 4"), d.filter("fold >= 4"), FEATS, "y", grid=[(t // 100, d, e) for t, d, e in S.GBT_GRID])
+    table, _ = R.tune_by_sharpe(_indexed(s, sf), wf(s, sf).filter("fold = 0"), FEATS, "y")
+    return table.drop("member")
 
 
 @case("spl10_cv_runner", """SELECT fold, CASE WHEN count(*) >= 10 THEN avg(CASE WHEN sign(y) = sign(pred) THEN CAST(1 AS DOUBLE) ELSE 0 END) ELSE 0.5 END AS direction_accuracy
@@ -192,7 +244,7 @@ def _two(s, sf):
 
 def _binned(s, sf):
     d = _two(s, sf)
-    return B.bin_features(d, B.bin_boundaries(d, ["pred_a", "volume"], 64), ["pred_a", "volume"])
+    return B.bin_features(d, sketch_boundaries(d, ["pred_a", "volume"], 64), ["pred_a", "volume"])
 
 
 @case("fit08_bin_boundaries", "SELECT feature, bound FROM bounds", "scores", "bound", _BINS)
@@ -200,6 +252,11 @@ def _(s, sf):
     return B.bin_boundaries(_two(s, sf), ["pred_a", "volume"], 64).select("feature", F.explode("bounds").alias("bound"))
 
 
+@case("fit08_sketch_boundaries", "SELECT feature, bound FROM bounds", "scores", "bound", _BINS)
+def _(s, sf):
+    return sketch_boundaries(_two(s, sf), ["pred_a", "volume"], 64).select("feature", F.explode("bounds").alias("bound"))
+
+
 @case("fit09_bin_features", "SELECT symbol, date, b0, b1 FROM binned", "scores", "", _BINS)
 def _(s, sf):
     return _binned(s, sf).select("symbol", "date", F.col("bin_pred_a").alias("b0"), F.col("bin_volume").alias("b1"))
