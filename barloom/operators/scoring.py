@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,77 +20,151 @@ FOLD, TIME = ("fold",), "date"
 
 # ---- ridge ----------------------------------------------------------------------------
 
-def gram_sums(df: DataFrame, cols: Sequence[str], *, by: Sequence[str] = FOLD, flush: int = 4096) -> DataFrame:
-    """Per key, the summed outer product of (1, cols...), as one flat array.
+def _joined(a: tuple[float, np.ndarray, np.ndarray], b: tuple[float, np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(rows, means, centred cross products) of two sets of rows together; no large means are ever subtracted from sums."""
+    n = a[0] + b[0]
+    apart = b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
 
-    Tasks add up their own batches first, so the shuffle carries one small matrix per task
-    and key, not the rows.
+
+def _moment_schema(keys: T.StructType) -> T.StructType:
+    array = T.ArrayType(T.DoubleType())
+    return T.StructType([*keys.fields, T.StructField("n", T.DoubleType()), T.StructField("mean", array), T.StructField("cross", array)])
+
+
+def moments(df: DataFrame, cols: Sequence[str], *, by: Sequence[str] = FOLD, flush: int = 4096) -> DataFrame:
+    """Per key: the number of rows without nulls in ``cols``, their means, and their centred cross products as one flat array.
+
+    One pass: tasks centre their own batches and merge them, so the shuffle carries one small matrix per task and key.
     """
-    width = len(cols) + 1
-    keys = df.select(*by)
-    schema = T.StructType([*keys.schema.fields, T.StructField("gram", T.ArrayType(T.DoubleType()))])
+    keys = df.select(*by).schema
+    used = df.select(*by, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    names = [f"_c{i}" for i in range(len(cols))]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, tuple] = {}
 
         def out() -> pd.DataFrame:
-            frame = pd.DataFrame(list(held), columns=list(by))
-            frame["gram"] = [g.ravel() for g in held.values()]
+            frame = pd.DataFrame(list(held), columns=list(by)) if by else pd.DataFrame(index=range(len(held)))
+            frame["n"] = [m[0] for m in held.values()]
+            frame["mean"], frame["cross"] = [m[1] for m in held.values()], [m[2].ravel() for m in held.values()]
             held.clear()
             return frame
 
         for pdf in batches:
-            groups = pdf.groupby(list(by), sort=False, dropna=False) if by else [((), pdf)]
-            for key, part in groups:
-                x = np.column_stack([np.ones(len(part)), part[list(cols)].to_numpy(float)])
-                held[key] = held.get(key, 0) + x.T @ x
+            for key, part in pdf.groupby(list(by), sort=False, dropna=False) if by else [((), pdf)]:
+                x = part[names].to_numpy(float)
+                if len(x):
+                    mean = x.mean(axis=0)
+                    one = float(len(x)), mean, (x - mean).T @ (x - mean)
+                    held[key] = _joined(held[key], one) if key in held else one
             if len(held) > flush:
                 yield out()
         if held:
             yield out()
 
-    parts = df.select(*by, *[F.col(c).cast("double") for c in cols]).dropna(subset=list(cols)).mapInPandas(partial, schema)
-    cells = parts.select(*by, F.posexplode("gram").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("v"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda c: c["v"])
-    return cells.groupBy(*by).agg(ordered.alias("gram")).filter(F.size("gram") == width * width)
+    return joined_moments(used.dropna(subset=names).mapInPandas(partial, _moment_schema(keys)), by)
+
+
+def joined_moments(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row of moments per key: parts stream by, sorted by key, and one key is held at a time."""
+    schema = _moment_schema(parts.select(*by).schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        done: list[tuple] = []
+        types: Sequence[pa.DataType] = []
+        for batch in batches:
+            types = batch.schema.types
+            columns = [c.to_pylist() for c in batch.columns[:len(by)]]
+            n, mean, cross = (batch.column(i) for i in range(len(by), len(by) + 3))
+            for i, count in enumerate(n.to_pylist()):
+                now = tuple(c[i] for c in columns)
+                m = mean[i].values.to_numpy()
+                one = count, m, cross[i].values.to_numpy().reshape(len(m), -1)
+                if held is not None and now == key:
+                    held = _joined(held, one)
+                    continue
+                if held is not None:
+                    done.append((*key, held[0], held[1], held[2].ravel()))
+                key, held = now, one
+                if len(done) >= 1000:
+                    yield _moment_batch(done, types, schema.names)
+                    done = []
+        if held is not None:
+            yield _moment_batch([*done, (*key, held[0], held[1], held[2].ravel())], types, schema.names)
+
+    placed = parts.repartition(*by).sortWithinPartitions(*by) if by else parts.repartition(1)
+    return placed.mapInArrow(join, schema)
+
+
+def _moment_batch(rows: list[tuple], types: Sequence[pa.DataType], names: Sequence[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def ridge_of(moment_rows: DataFrame, alpha: float = 1.0, *, by: Sequence[str] = FOLD) -> DataFrame:
+    """n, intercept and coef per key from moments of (features..., target)."""
+
+    @F.pandas_udf("intercept double, coef array<double>")
+    def solve(mean: pd.Series, cross: pd.Series) -> pd.DataFrame:
+        rows = []
+        for m, c in zip(mean, cross, strict=True):
+            k = len(m) - 1
+            c = np.asarray(c).reshape(k + 1, k + 1)
+            w = np.linalg.lstsq(c[:k, :k] + alpha * np.eye(k), c[:k, k], rcond=None)[0]
+            rows.append((m[k] - np.asarray(m[:k]) @ w, w))
+        return pd.DataFrame(rows, columns=["intercept", "coef"])
+
+    solved = moment_rows.withColumn("_s", solve("mean", "cross"))
+    return solved.select(*by, F.col("n").cast("long").alias("n"), "_s.intercept", "_s.coef")
 
 
 def ridge_fit(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, *, by: Sequence[str] = FOLD) -> DataFrame:
-    """Ridge with an unpenalised intercept for every key at once: n, intercept, coef.
+    """Ridge with an unpenalised intercept for every key at once: n, intercept, coef. One pass over the rows.
 
-    Columns are summed around their means per key, so that features with large means (prices, volumes) keep their digits.
+    Columns are summed around their means, so that features with large means (prices, volumes) keep their digits.
     """
-    k = len(features)
-    columns = [*features, y]
-    used = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns)
-    means = [f"_mean_{i}" for i in range(k + 1)]
-    around = group_stats(used, by, **{m: F.avg(c) for m, c in zip(means, columns)})
-    centred = around.select(*by, *[(F.col(c) - F.col(m)).alias(c) for m, c in zip(means, columns)])
-
-    @F.pandas_udf("n double, intercept double, coef array<double>")
-    def solve(grams: pd.Series) -> pd.DataFrame:
-        rows = []
-        for g in grams:
-            g = np.asarray(g).reshape(k + 2, k + 2)
-            n, sx, sy = g[0, 0], g[0, 1:k + 1], g[0, k + 1]
-            mx, my = sx / n, sy / n
-            a = g[1:k + 1, 1:k + 1] - n * np.outer(mx, mx) + alpha * np.eye(k)
-            b = g[1:k + 1, k + 1] - n * mx * my
-            w = np.linalg.lstsq(a, b, rcond=None)[0]
-            rows.append((n, my - mx @ w, w))
-        return pd.DataFrame(rows, columns=["n", "intercept", "coef"])
-
-    solved = gram_sums(centred, columns, by=by).withColumn("_s", solve("gram"))
-    solved = _with_means(solved, used, means, columns, by)
-    moved = F.col("_s.intercept") + F.col(means[k])
-    for i in range(k):
-        moved = moved - F.col("_s.coef")[i] * F.col(means[i])
-    return solved.select(*by, F.col("_s.n").cast("long").alias("n"), moved.alias("intercept"), "_s.coef")
-
-
-def _with_means(models: DataFrame, used: DataFrame, means: Sequence[str], columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    table = used.groupBy(*by).agg(*[F.avg(c).alias(m) for m, c in zip(means, columns)])
-    return attach(models, table, by) if by else models.withColumns({m: table.select(m).scalar() for m in means})
+    return ridge_of(moments(df, [*features, y], by=by), alpha, by=by)
+
+
+def fold_ridge(
+    df: DataFrame, folds: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, *, idx: str = "date_idx", train_role: str = "train",
+) -> DataFrame:
+    """Ridge of every fold of a span table (fold, role, lo, hi) without a copy of any row: fold, n, intercept, coef.
+
+    The bounds of all training spans cut the axis into blocks; each block has one table of moments, and a fold merges those of its
+    blocks. Rows are read once, whatever the overlap of the folds.
+    """
+    spans = [(r["fold"], r["lo"], r["hi"]) for r in folds.filter(F.col("role") == train_role).collect()]  # tens of rows
+    cuts = sorted({c for _, lo, hi in spans for c in (lo, hi)})
+    pairs = [(i, fold) for i, c in enumerate(cuts) for fold, lo, hi in spans if lo <= c < hi]
+    used = sorted({i for i, _ in pairs})
+    block = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= F.col(idx))) - 1 if cuts else F.lit(-1)
+    rows = df.withColumn("_block", block).filter(F.col("_block").isin(used))
+    per_block = moments(rows, [*features, y], by=["_block"])
+    members = df.sparkSession.createDataFrame(pairs, "_block int, fold int")
+    return ridge_of(joined_moments(per_block.join(F.broadcast(members), "_block").select("fold", "n", "mean", "cross"), ["fold"]), alpha)
+
+
+def walk_forward_ridge(
+    df: DataFrame, folds: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, *, idx: str = "date_idx", train_role: str = "train",
+    test_role: str = "val", min_train: int = 200,
+) -> DataFrame:
+    """Rows inside a test span with ``pred`` and ``fold``: of overlapping spans the latest fold with ``min_train`` training rows.
+
+    Two passes over ``df`` and no row copied or shuffled: moments per block of the axis, then scoring with all models as one value.
+    Rows with a null feature have no prediction and are left out.
+    """
+    models = fold_ridge(df, folds, features, y, alpha, idx=idx, train_role=train_role).filter(F.col("n") >= min_train)
+    tests = folds.filter(F.col("role") == test_role).select("fold", F.col("lo").cast("bigint"), F.col("hi").cast("bigint"))
+    spans = models.join(F.broadcast(tests), "fold").select("fold", "lo", "hi", "intercept", "coef")
+    every = spans.agg(F.collect_list(F.struct("fold", "lo", "hi", "intercept", "coef"))).scalar()  # tens of models
+    hits = F.filter("_models", lambda m: (m["lo"] <= F.col(idx)) & (F.col(idx) < m["hi"]))
+    scored = df.drop("fold").withColumn("_models", every).withColumn("_m", F.array_max(hits)).filter(F.col("_m").isNotNull())
+    total = F.col("_m.intercept")
+    for i, f in enumerate(features):
+        total = total + F.col("_m.coef")[i] * F.col(f)
+    return scored.withColumns({"fold": F.col("_m.fold"), "pred": total}).filter(F.col("pred").isNotNull()).drop("_models", "_m")
 
 
 def coefficients(models: DataFrame, features: Sequence[str], *, by: Sequence[str] = FOLD) -> DataFrame:

@@ -57,9 +57,12 @@ def _(s, sf):
     return S.linear_score(d, S.ridge_fit(d, FEATS, "y"), FEATS).select("symbol", "date", "pred")
 
 
+def _indexed(s, sf):
+    return P.date_index(X.scores(s, sf).drop("fold"))
+
+
 def folded(s, sf):
-    d = P.date_index(X.scores(s, sf).drop("fold"))
-    return K.fold_expand(d, wf(s, sf), roles=["train", "val"])
+    return K.fold_expand(_indexed(s, sf), wf(s, sf), roles=["train", "val"])
 
 
 WFS = [WF, ("sd", "SELECT s.* EXCLUDE (fold), row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, d.i AS date_idx FROM scores s JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM scores)) d USING (date)"),
@@ -71,11 +74,12 @@ WFS = [WF, ("sd", "SELECT s.* EXCLUDE (fold), row_number() OVER (PARTITION BY sy
 
 @case("fit05_walk_forward_score", "SELECT * FROM oos", "days scores", "pred y", WFS)
 def _(s, sf):
-    return S.walk_forward_score(folded(s, sf), FEATS, "y")
+    return S.walk_forward_ridge(_indexed(s, sf), wf(s, sf), FEATS, "y").select("symbol", "date", "pred", "y", "fold")
 
 
-def _indexed(s, sf):
-    return P.date_index(X.scores(s, sf).drop("fold"))
+@case("fit05_folded_rows", "SELECT * FROM oos", "days scores", "pred y", WFS)
+def _(s, sf):
+    return S.walk_forward_score(folded(s, sf), FEATS, "y")
 
 
 @case("fit04_gbt_fit")
