@@ -121,6 +121,29 @@ def along_time(
     return done.drop("__at", "__home", "__blk", *drop)
 
 
+def frame_blocks(df: DataFrame, back: int, by: Sequence[str] = ("symbol",), time: str = "date", rows: int = 2048) -> DataFrame:
+    """Blocks of ``rows`` neighbouring rows of a key, each with the ``back`` rows before it, for functions of whole blocks.
+
+    One row per block: by..., ``__blk``, and ``__rows``, an array of (at, row) in time order. ``unblock`` takes a block apart again.
+    """
+    rows = max(rows, back, 1)
+    placed = positions(df, by, time, "__at")
+    own = F.floor(F.col("__at") / rows)
+    homes = F.array_compact(F.array(own, F.when(F.col("__at") % rows >= rows - back, own + 1)))
+    row = F.struct(F.col("__at").alias("at"), F.struct(*df.columns).alias("row"))
+    dealt = placed.withColumn("__blk", F.explode(homes)).groupBy(*by, "__blk").agg(F.collect_list(row).alias("__rows"), F.max(own).alias("__last"))
+    full = dealt.filter(F.col("__last") >= F.col("__blk")).drop("__last")  # a block of copies only has no rows of its own
+    # The position is unique in a block, so no row is compared beyond it.
+    return full.withColumn("__rows", F.array_sort("__rows", lambda a, b: (a["at"] - b["at"]).cast("int"))).withColumn("__size", F.lit(rows))
+
+
+def unblock(blocks: DataFrame, values: Column, out: str) -> DataFrame:
+    """The rows that belong to each block, with the value of the array ``values`` at their place as ``out``."""
+    each = blocks.select("__blk", "__size", F.explode(F.arrays_zip(F.col("__rows").alias("r"), values.alias("v"))).alias("__e"))
+    mine = each.filter(F.floor(F.col("__e.r.at") / F.col("__size")) == F.col("__blk"))
+    return mine.select("__e.r.row.*", F.col("__e.v").alias(out))
+
+
 def _apply(df: DataFrame, stages: Sequence[Stage], line: Line) -> DataFrame:
     for stage in stages:
         df = df.withColumns({name: make(line) for name, make in stage.items()})

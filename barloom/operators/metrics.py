@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import ANNUAL, guarded_corr, lit, sharpe_of, sortino_of
-from barloom.functions.grouping import along_time, average_rank, longest_group, quantiles, running
+from barloom.functions.grouping import along_time, average_rank, frame_blocks, longest_group, quantiles, running, unblock
 from barloom.operators.cross import signal_deciles
 from barloom.operators.panel import finite
 
@@ -50,55 +50,70 @@ def daily_ic_series(
     return stats.select(*by, "n", F.when(F.col("n") >= min_names, F.coalesce("ic", lit(0))).otherwise(lit(0)).alias("ic"))
 
 
-def _row_ranks(x: np.ndarray) -> np.ndarray:
-    """Average ranks along each row of a matrix."""
-    n, width = x.shape
-    order = np.argsort(x, axis=1, kind="stable")
-    vals = np.take_along_axis(x, order, axis=1)
-    at = np.broadcast_to(np.arange(width), (n, width))
-    new = np.ones((n, width), bool)
-    new[:, 1:] = vals[:, 1:] != vals[:, :-1]
-    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
-    ends = np.ones((n, width), bool)
-    ends[:, :-1] = new[:, 1:]
-    last = np.minimum.accumulate(np.where(ends, at, width)[:, ::-1], axis=1)[:, ::-1]
-    out = np.empty((n, width))
-    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=1)
+def _rolling_spearman(x: np.ndarray, y: np.ndarray, window: int) -> np.ndarray:
+    """Rank correlation over the trailing ``window`` values of each row of two matrices; NaN before the window is full.
+
+    The ranks of a window are kept, not taken anew: a value that enters or leaves moves the centred rank of every other one by the
+    sign of their difference, and ties share their mean rank by that.
+    """
+    n, length = x.shape
+    out = np.full((n, length), np.nan)
+    if length < window or window < 3:
+        return out
+    held, ranks = [], []
+    for v in (x, y):
+        ring = v[:, :window].copy()
+        held.append(ring)
+        ranks.append(np.stack([np.sign(ring - ring[:, [j]]).sum(axis=1) * -1.0 for j in range(window)], axis=1))
+    for t in range(window - 1, length):
+        if t >= window:
+            slot = (t - window) % window
+            for v, ring, rank in zip((x, y), held, ranks, strict=True):
+                rank -= np.sign(ring - ring[:, [slot]])
+                ring[:, slot] = v[:, t]
+                moves = np.sign(ring - ring[:, [slot]])
+                rank += moves
+                rank[:, slot] = -moves.sum(axis=1)
+        rx, ry = ranks
+        den = np.sqrt(np.einsum("ij,ij->i", rx, rx) * np.einsum("ij,ij->i", ry, ry))
+        out[:, t] = np.divide(np.einsum("ij,ij->i", rx, ry), den, out=np.full(n, np.nan), where=den > 0)
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def _frame_spearman(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    """Spearman correlation of each pair of arrays; all arrays of a batch have one length."""
-    out = np.full(len(xs), np.nan)
-    have = np.flatnonzero([x is not None and len(x) > 2 for x in xs])
-    for part in np.array_split(have, max(1, len(have) // 2048)):
-        if not len(part):
-            continue
-        rx, ry = (_row_ranks(np.stack([np.asarray(v.iloc[i], float) for i in part])) for v in (xs, ys))
-        rx, ry = rx - rx.mean(axis=1, keepdims=True), ry - ry.mean(axis=1, keepdims=True)
-        den = np.sqrt((rx * rx).sum(axis=1) * (ry * ry).sum(axis=1))
-        top = (rx * ry).sum(axis=1)
-        out[part] = np.divide(top, den, out=np.full(len(part), np.nan), where=den > 0)
-    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+def _block_spearman(window: int, late: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def correlate(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out: list = [None] * len(xs)
+        order = sorted(range(len(xs)), key=lambda i: len(xs.iloc[i]))
+        for some in (order[i:i + 64] for i in range(0, len(order), 64)):
+            longest = len(xs.iloc[some[-1]])
+            x, y = (np.full((len(some), longest), np.nan) for _ in range(2))
+            for k, i in enumerate(some):
+                x[k, :len(xs.iloc[i])], y[k, :len(ys.iloc[i])] = xs.iloc[i], ys.iloc[i]
+            found = _rolling_spearman(x, y, window)
+            if late:
+                found = np.concatenate([np.full((len(some), late), np.nan), found[:, :-late]], axis=1)
+            for k, i in enumerate(some):
+                mine = found[k, :len(xs.iloc[i])]
+                out[i] = np.where(np.isnan(mine), None, mine)
+        return pd.Series(out)
+
+    return correlate
 
 
 def rolling_ic(
     df: DataFrame, y: str, yhat: str, window: int = 252, out: str = "rolling_ic", exclude_current: bool = False,
     *, by: Sequence[str] = ("symbol",), time=TIME,
 ) -> DataFrame:
-    """Spearman correlation over the trailing ``window`` rows, ranked anew in every frame.
+    """Spearman correlation over the trailing ``window`` rows, as if ranked anew in every frame.
 
-    NULL until the window is full; ``exclude_current`` ends the window one row earlier.
+    NULL until the window is full; ``exclude_current`` ends the window one row earlier. Python gets each value once per block of rows
+    (and once more as an earlier row of the next block), not once per frame.
     """
-    ends = -1 if exclude_current else 0
-    frame = lambda t: t.between(ends - window + 1, ends)
-    rows = along_time(
-        finite_pairs(df, y, yhat),
-        {"_x": lambda t: F.collect_list(y).over(frame(t)), "_z": lambda t: F.collect_list(yhat).over(frame(t))},
-        by=by, time=time, back=window - ends)
-    full = F.size("_x") == window
-    return rows.withColumn(out, _frame_spearman(F.when(full, F.col("_x")), F.when(full, F.col("_z")))).drop("_x", "_z")
+    late = int(exclude_current)
+    blocks = frame_blocks(finite_pairs(df, y, yhat), window - 1 + late, by, time, max(2048, 4 * window))
+    values = lambda c: F.transform("__rows", lambda r: r["row"][c].cast("double"))
+    return unblock(blocks.withColumn("__ic", _block_spearman(window, late)(values(y), values(yhat))), F.col("__ic"), out)
 
 
 def ic_summary(df: DataFrame, ic: str = "ic", *, by: Sequence[str] = (), time=TIME) -> DataFrame:

@@ -50,9 +50,9 @@ def rolling_sql(pred: str, lo: int, hi: int) -> list:
 
 
 @case("eval03_rolling_ic", "SELECT s.symbol, s.date, r.ic AS rolling_ic FROM seq s LEFT JOIN roll_pred_a r USING (symbol, rn)", "scores", "rolling_ic",
-      rolling_sql("pred_a", -59, 0))
+      rolling_sql("pred_a", -251, 0))
 def _(s, sf):
-    return M.rolling_ic(X.scores(s, sf), "y", "pred_a", 60).select("symbol", "date", "rolling_ic")
+    return M.rolling_ic(X.scores(s, sf), "y", "pred_a").select("symbol", "date", "rolling_ic")
 
 
 @case("eval04_ic_summary", """SELECT count(*) AS n_days, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, max_by(ic, date) AS ic_last,

@@ -341,12 +341,12 @@ def _(s, sf):
     return S.blend_by_fold_ic(X.scores(s, sf), "y", FEATS).select("symbol", "date", "blend")
 
 
-@case("fit20_blend_rolling_ic", """SELECT symbol, date, CASE WHEN rn > 60 THEN a / (a + b + 1e-8) ELSE 0.5 END AS weight_a, CASE WHEN rn > 60 THEN b / (a + b + 1e-8) ELSE 0.5 END AS weight_b,
-      CASE WHEN rn > 60 THEN a / (a + b + 1e-8) ELSE 0.5 END * pred_a + CASE WHEN rn > 60 THEN b / (a + b + 1e-8) ELSE 0.5 END * pred_b AS fused FROM (
+@case("fit20_blend_rolling_ic", """SELECT symbol, date, CASE WHEN rn > 252 THEN a / (a + b + 1e-8) ELSE 0.5 END AS weight_a, CASE WHEN rn > 252 THEN b / (a + b + 1e-8) ELSE 0.5 END AS weight_b,
+      CASE WHEN rn > 252 THEN a / (a + b + 1e-8) ELSE 0.5 END * pred_a + CASE WHEN rn > 252 THEN b / (a + b + 1e-8) ELSE 0.5 END * pred_b AS fused FROM (
         SELECT s.*, abs(coalesce(x.ic, 0)) AS a, abs(coalesce(z.ic, 0)) AS b FROM seq s LEFT JOIN roll_pred_a x USING (symbol, rn) LEFT JOIN roll_pred_b z USING (symbol, rn))""",
-      "scores", "weight_a weight_b fused", [*rolling_sql("pred_a", -60, -1), *rolling_sql("pred_b", -60, -1)[1:]])
+      "scores", "weight_a weight_b fused", [*rolling_sql("pred_a", -252, -1), *rolling_sql("pred_b", -252, -1)[1:]])
 def _(s, sf):
-    return S.blend_rolling_ic(X.scores(s, sf), "y", "pred_a", "pred_b", 60).select("symbol", "date", "weight_a", "weight_b", "fused")
+    return S.blend_rolling_ic(X.scores(s, sf), "y", "pred_a", "pred_b").select("symbol", "date", "weight_a", "weight_b", "fused")
 
 
 @case("fit21_time_decay_blend", """SELECT symbol, date, w AS weight_a, w * pred_a + (1 - w) * pred_b AS blend FROM (SELECT *, 1 / (1 + exp(-(2 * exp(-4 * t)))) AS w FROM (
