@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.columns import guarded_corr, lit
 from barloom.functions.grouping import along_time, attach, average_rank, group_stats, ordered, positions, quantiles
 from barloom.functions.stats import binomial_p, normal_p, student_p
 from barloom.operators.metrics import finite_pairs
 from barloom.operators.panel import finite
+from barloom.session import cut_lineage
 
 TIME = "date"
 
@@ -151,25 +156,61 @@ def ic_gate_checks(stats: DataFrame) -> DataFrame:
     return stats.select(F.inline(F.array(*rows)))
 
 
+ROUNDS, LOW = 20, 2**30 - 1
+
+
+def shuffle_keys(n_perm: int, seed: int = 42) -> list[list[tuple[int, int]]]:
+    """Per shuffle and round, an offset and a multiplier from a digest of (shuffle, round, seed)."""
+    digest = lambda rep, i: md5(f"{rep}|{i}|{seed}".encode()).hexdigest()
+    return [[(int(digest(rep, i)[:14], 16), int(digest(rep, i)[14:21], 16)) for i in range(ROUNDS)] for rep in range(1, n_perm + 1)]
+
+
+def shuffled_places(k: np.ndarray, n: np.ndarray, keys: Sequence[tuple[int, int]]) -> np.ndarray:
+    """A keyed permutation of 0..n-1, place by place, without a table or a sort.
+
+    Each round pairs place k with (offset - k) mod n and swaps the pair or leaves it, by a bit that both compute alike: so every
+    round, and all together, is one-to-one on any n.
+    """
+    for offset, factor in keys:
+        other = (offset - k) % n
+        bit = ((np.maximum(k, other) & LOW) * (2 * factor + 1) >> 29) & 1
+        k = np.where(bit == 1, other, k)
+    return k
+
+
 def permutation_test(
     df: DataFrame, y: str, yhat: str, n_perm: int = 100, seed: int = 42, *, by: Sequence[str] = ("fold",),
     key: Sequence[str] = ("symbol", "date"),
 ) -> DataFrame:
-    """Rank correlation under hashed shuffles of the predictions inside the key.
+    """Rank correlation under keyed shuffles of the predictions inside the key.
 
-    Ranks are taken once; a shuffle pairs the row at place k of one hash order with the row
-    at place k of the key order, so each replicate is one ordering and one equi-join.
+    Rows are ranked and put in hash order once. A shuffle pairs the target at place k with the prediction at a place that k, the key's
+    size and the shuffle's number determine: one equi-join on computed places for all shuffles, no order of replicated rows.
     """
     ranked = average_rank(finite_pairs(df, y, yhat), by, [y, yhat], ["_ry", "_rp"])
     tag = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
-    base = ordered(ranked.select(*by, *key, "_ry", "_rp").withColumn("_h", tag), by, ["_h"], out="_k")
-    reps = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    again = F.md5(F.concat_ws("|", F.col("_h"), F.col("rep").cast("string"), F.lit(str(seed))))
-    mixed = ordered(reps.select(*by, "rep", "_rp", again.alias("_g")), [*by, "rep"], ["_g"], out="_k")
-    paired = reps.select(*by, "rep", "_k", "_ry").join(mixed.select(*by, "rep", "_k", "_rp"), [*by, "rep", "_k"])
-    null = paired.groupBy(*by, "rep").agg(F.coalesce(guarded_corr(F.col("_ry"), F.col("_rp")), lit(0)).alias("_ic"))
-    seen = base.groupBy(*by).agg(F.coalesce(guarded_corr(F.col("_ry"), F.col("_rp")), lit(0)).alias("observed_ic"))
-    both = attach(null, seen, by)
+    base = ordered(ranked.select(*by, *key, "_ry", "_rp").withColumn("_h", tag), by, ["_h"], out="_k", total="_n")
+    middle = (F.col("_n") + 1) / 2  # of ranks that share ties
+    base = cut_lineage(base.select(*by, (F.col("_k") - 1).alias("_k"), "_n", (F.col("_ry") - middle).alias("_ry"), (F.col("_rp") - middle).alias("_rp")))
+    keys = shuffle_keys(n_perm, seed)
+    names = [*by, "rep", "_to", "_ry"]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = (batch.column(c).to_numpy() for c in ("_k", "_n"))
+            kept = [batch.column(c) for c in by]
+            for rep, own in enumerate(keys, 1):
+                columns = [*kept, pa.array(np.full(len(k), rep, np.int32)), pa.array(shuffled_places(k, n, own)), batch.column("_ry")]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = T.StructType([*base.select(*by).schema.fields, T.StructField("rep", T.IntegerType()), T.StructField("_to", T.LongType()), T.StructField("_ry", T.DoubleType())])
+    moved = base.mapInArrow(places, schema)
+    other = base.select(*by, F.col("_k").alias("_to"), "_rp").hint("shuffle_hash")
+    product = F.sum(F.col("_ry") * F.col("_rp"))
+    spread = base.groupBy(*by).agg(F.sqrt(F.sum(F.col("_ry") * F.col("_ry")) * F.sum(F.col("_rp") * F.col("_rp"))).alias("_s"), product.alias("_o"))
+    null = attach(moved.join(other, [*by, "_to"]).groupBy(*by, "rep").agg(product.alias("_p")), spread, by)
+    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("_s"), lit(0)), lit(0))
+    both = null.select(*by, share("_p").alias("_ic"), share("_o").alias("observed_ic"))
     return both.groupBy(*by).agg(
         F.first("observed_ic").alias("observed_ic"), F.avg("_ic").alias("null_mean"), F.stddev_pop("_ic").alias("null_std"),
         F.avg((F.col("_ic") >= F.col("observed_ic")).cast("double")).alias("p_one_sided"),

@@ -311,9 +311,22 @@ def _(s, sf):
     return M.predictor_ranks(wide, ["a", "b", "zero", "tenth"], "b", "a")
 
 
-_PERM = [("ranked", RANKS("fold")), ("base", "SELECT fold, ry, rp, md5(symbol || '|' || date) AS h, row_number() OVER (PARTITION BY fold ORDER BY md5(symbol || '|' || date)) AS k FROM ranked"),
-         ("mixed", """SELECT fold, rep, rp, row_number() OVER (PARTITION BY fold, rep ORDER BY md5(h || '|' || rep || '|42')) AS k FROM base, (SELECT unnest(range(1, 11)) AS rep)"""),
-         ("nul", f"SELECT b.fold, m.rep, {RHO.replace('rp', 'm.rp')} AS ic FROM base b JOIN mixed m ON b.fold = m.fold AND b.k = m.k GROUP BY 1, 2"),
+def _rounds(source: str, rounds: int = I.ROUNDS) -> str:
+    """Nested queries, one a round: swap place k with (offset - k) mod n where the pair's bit is set."""
+    for i in range(rounds):
+        pair = f"SELECT *, pmod_n AS other, ((greatest(k, pmod_n) & {I.LOW}) * (2 * f{i} + 1) >> 29) & 1 AS bit FROM (SELECT *, ((o{i} - k) % n + n) % n AS pmod_n FROM {source})"
+        source = f"(SELECT * EXCLUDE (k, other, bit, pmod_n), CASE WHEN bit = 1 THEN other ELSE k END AS k FROM ({pair}))"
+    return source
+
+
+_KEYS = "SELECT rep, " + ", ".join(
+    f"('0x' || substr(md5(rep || '|{i}|42'), 1, 14))::BIGINT AS o{i}, ('0x' || substr(md5(rep || '|{i}|42'), 15, 7))::BIGINT AS f{i}" for i in range(I.ROUNDS)) + \
+    " FROM (SELECT unnest(range(1, 101)) AS rep)"
+_PERM = [("ranked", RANKS("fold")), ("base", """SELECT fold, ry, rp, row_number() OVER (PARTITION BY fold ORDER BY md5(symbol || '|' || date)) - 1 AS k,
+            count(*) OVER (PARTITION BY fold) AS n FROM ranked"""),
+         ("rk", _KEYS),
+         ("mixed", f"SELECT fold, rep, ry, k FROM {_rounds('(SELECT fold, ry, k, n, rk.* FROM base, rk)')}"),
+         ("nul", f"SELECT m.fold, m.rep, {RHO} AS ic FROM (SELECT m.fold, m.rep, m.ry, b.rp FROM mixed m JOIN base b ON b.fold = m.fold AND b.k = m.k) m GROUP BY 1, 2"),
          ("obs", f"SELECT fold, {RHO} AS o FROM base GROUP BY 1")]
 
 
@@ -321,7 +334,7 @@ _PERM = [("ranked", RANKS("fold")), ("base", "SELECT fold, ry, rp, md5(symbol ||
       avg(CASE WHEN abs(ic) >= abs(o) THEN CAST(1 AS DOUBLE) ELSE 0 END) AS p_two_sided FROM nul JOIN obs USING (fold) GROUP BY 1""",
       "scores", "observed_ic null_mean null_std p_one_sided p_two_sided", _PERM)
 def _(s, sf):
-    return I.permutation_test(X.scores(s, sf), "y", "pred_a", 10)
+    return I.permutation_test(X.scores(s, sf), "y", "pred_a")
 
 
 @case("eval28_min_detectable_ic", """SELECT n, observed_ic, 1 / sqrt(n - 3) AS se_fisher_z, m AS min_ic, abs(observed_ic) / m AS ratio, m * m AS r_squared, abs(observed_ic) >= m AS detectable
