@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.columns import lit
 from barloom.functions.grouping import along_time, attach, longest_group, running
@@ -137,6 +139,61 @@ def signal_gate(
     return out.drop("_held", "_mark", "_nav")
 
 
+def sequential_gate(
+    signals: DataFrame, open_orders: DataFrame, positions: DataFrame, valuation: DataFrame, prices: DataFrame, order: Sequence[str] = ("seq",),
+    max_concentration: float = 0.1, fractional: bool = True, fills: str = "immediate", *, by: Sequence[str] = BOOK,
+) -> DataFrame:
+    """Accepted signals in their order, each judged after what the earlier ones did: ``allowed_qty`` and ``position_after``.
+
+    ``fills="immediate"``: an accepted signal fills at the mark, so it moves the position that limits the next one; net asset value stays
+    as it is. ``fills="pending"``: an accepted signal becomes an open order, and later signals of its side are duplicates. Signals of a
+    side with an open order are rejected in both. Unknown positions count as none, at price 1, as in ``signal_gate``.
+
+    A book's signals stream by in order, with one position and two flags held: memory is bounded for any number of signals, and a net
+    asset value that fills at the mark don't move makes the symbols of an account independent.
+    """
+    if fills not in ("immediate", "pending"):
+        raise ValueError(f"unknown fills {fills!r}")
+    account, names = by[0], list(signals.columns)
+    sides = open_orders.groupBy(*by).agg(F.collect_set("side").alias("_open"))
+    held = attach(attach(signals, sides, by), positions.select(*by, F.col("qty").alias("_held")), by)
+    priced = attach(held, prices.select("symbol", F.col("price").alias("_mark")), ["symbol"])
+    rows = attach(priced, valuation.select(account, F.col("nav").alias("_nav")), [account])
+    key = F.to_json(F.struct(*by)).alias("_key")
+    rows = rows.select(*names, F.coalesce("_open", F.array().cast("array<string>")).alias("_open"), F.col("_held").cast("double"), F.col("_mark").cast("double"),
+                       F.col("_nav").cast("double"), key, F.col("side").alias("_side"), F.col("target_qty").cast("double").alias("_qty"))
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, position, blocked = None, None, set()
+        for batch in batches:
+            keep, allowed, after = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("_key", "_side", "_qty", "_open", "_held", "_mark", "_nav")]
+            for i, (key, side, qty, open_, start, mark, nav) in enumerate(zip(*columns, strict=True)):
+                if key != last:
+                    last, position, blocked = key, start, set(open_)
+                if qty is None or qty <= 0 or side in blocked:
+                    continue
+                known = position is not None and mark is not None and mark > 0
+                price, now = (mark, abs(position * mark)) if known else (1.0, 0.0)
+                if side == "buy" and max_concentration < 1 and nav is not None and nav > 0 and now + price * qty > max_concentration * nav:
+                    qty = (max_concentration * nav - now) / price
+                if qty <= 0 or (not fractional and qty < 1):
+                    continue
+                if fills == "pending":
+                    blocked.add(side)
+                else:
+                    position = (position or 0.0) + (qty if side == "buy" else -qty)
+                keep.append(i)
+                allowed.append(qty)
+                after.append(position)
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:len(names)], pa.array(allowed, pa.float64()), pa.array(after, pa.float64())],
+                                             [*names, "allowed_qty", "position_after"])
+
+    schema = T.StructType([*signals.schema.fields, T.StructField("allowed_qty", T.DoubleType()), T.StructField("position_after", T.DoubleType())])
+    return rows.repartition("_key").sortWithinPartitions("_key", *order).mapInArrow(admit, schema)
+
+
 # Final states of an order.
 TERMINAL = ("filled", "canceled", "rejected", "expired")
 

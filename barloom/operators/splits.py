@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.columns import lit
 from barloom.functions.grouping import attach, group_stats, ordered, positions
@@ -203,3 +206,56 @@ def cv_runner(
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
     return stacked, metric_fn(stacked) if metric_fn else None
+
+
+def cv_arrays(
+    folded: DataFrame, features: Sequence[str], y: str, train_fn: Callable[[np.ndarray, np.ndarray], object],
+    predict_fn: Callable[[object, np.ndarray], np.ndarray], metric_fn: Callable[[np.ndarray, np.ndarray], float] | None = None, *,
+    role: str = "role", test_role: str = "test", panel: tuple[str, str] | None = None, most_rows: int = 2_000_000, out: str = "pred",
+) -> tuple[DataFrame, DataFrame | None]:
+    """Fit and predict all folds in one job with user callables on arrays: ``train_fn(x, y)``, ``predict_fn(model, x)``, ``metric_fn(y, pred)``.
+
+    A fold's training and test rows meet in one task by cogroup, so each side of a fold may have ``most_rows`` rows at most (an error
+    says so before any fit; ``cv_runner`` takes folds of any size). Flat arrays are (rows, features) without null targets or features in
+    training. With ``panel`` = (time, symbol), arrays are (times, symbols, features) and (times, symbols), NaN where a row is missing.
+    Returns the test rows with ``out``, and (fold, metric).
+    """
+    longest = folded.groupBy("fold", role).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (longest or 0) > most_rows:
+        raise ValueError(f"a fold has {longest} rows, more than {most_rows}: use cv_runner")
+    features, every = list(features), folded.columns
+    own = [*(panel or ()), *features, y]
+    names = dict.fromkeys(["fold", *own])
+    # Columns of the two sides get names of their own: both come from one table.
+    train = folded.filter(F.col(role) == "train").select(*[F.col(c).alias(f"_train_{i}") for i, c in enumerate(names)])
+    test = folded.filter(F.col(role) == test_role)
+    test = test.select(*[F.col(c).alias(f"_test_{i}") for i, c in enumerate(test.columns)])
+
+    def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, tuple]:
+        x, target = rows[features].to_numpy(float), rows[y].to_numpy(float)
+        if not panel:
+            return x, target, (slice(None),)
+        t, times = pd.factorize(rows[panel[0]], sort=True)
+        s, symbols = pd.factorize(rows[panel[1]], sort=True)
+        cube, plane = np.full((len(times), len(symbols), len(features)), np.nan), np.full((len(times), len(symbols)), np.nan)
+        cube[t, s], plane[t, s] = x, target
+        return cube, plane, (t, s)
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=schema.names)
+        left.columns, right.columns = list(names), every
+        if not panel:
+            left = left.dropna(subset=[*features, y])
+        model = train_fn(*arrays(left)[:2])
+        x, target, at = arrays(right)
+        pred = np.asarray(predict_fn(model, x), float)
+        right[out], right["_metric"] = pred[at], float(metric_fn(target, pred)) if metric_fn else np.nan
+        return right[schema.names]
+
+    kept = [f for f in folded.schema.fields if f.name not in (out, "_metric")]
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField("_metric", T.DoubleType())])
+    by_fold = test.groupBy(f"_test_{folded.columns.index('fold')}")
+    scored = train.groupBy("_train_0").cogroup(by_fold).applyInPandas(fold, schema)
+    metric = scored.groupBy("fold").agg(F.first("_metric").alias("metric")) if metric_fn else None
+    return scored.drop("_metric"), metric

@@ -6,8 +6,8 @@ from barloom.operators import ledger as L
 from barloom.registry import case
 
 FILLS = [("fills", """SELECT CAST(user_id AS VARCHAR) AS account, 'S' || (CAST(json_extract_string(props, '$.k') AS INT) % 4) AS symbol, event_id AS seq,
-            CASE event_type WHEN 'purchase' THEN 'buy' ELSE 'sell' END AS side, value AS qty, 10 + CAST(json_extract_string(props, '$.k') AS INT) / 4.0 AS price
-          FROM events WHERE event_type IN ('purchase', 'error')"""),
+            CASE WHEN event_type IN ('error', 'view') THEN 'sell' ELSE 'buy' END AS side, round(value) AS qty, 10 + CAST(json_extract_string(props, '$.k') AS INT) / 4.0 AS price
+          FROM events"""),
          ("f", "SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY seq) AS k FROM fills WHERE qty > 0 AND price > 0"),
          ("walk(account, symbol, k, q, av, held, pl)", """SELECT account, symbol, k, CASE side WHEN 'buy' THEN qty ELSE -qty END, price, true, CAST(0 AS DOUBLE) FROM f WHERE k = 1
           UNION ALL SELECT f.account, f.symbol, f.k,
@@ -26,12 +26,12 @@ FILLS = [("fills", """SELECT CAST(user_id AS VARCHAR) AS account, 'S' || (CAST(j
 
 
 def fills(s, sf):
-    e = s.read.parquet(f"{sf}/events.parquet").filter(F.col("event_type").isin("purchase", "error"))
+    e = s.read.parquet(f"{sf}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("user_id").cast("string").alias("account"), F.concat(F.lit("S"), k % 4).alias("symbol"), F.col("event_id").alias("seq"), F.col("ts"),
-        F.when(F.col("event_type") == "purchase", "buy").otherwise("sell").alias("side"),
-        F.col("value").alias("qty"), F.lit(0.0).alias("filled_qty"), (k / 4.0 + 10).alias("price"))
+        F.when(F.col("event_type").isin("error", "view"), "sell").otherwise("buy").alias("side"),
+        F.round("value").alias("qty"), F.lit(0.0).alias("filled_qty"), (k / 4.0 + 10).alias("price"))
 
 
 def book(s, sf):
@@ -86,6 +86,27 @@ def _(s, sf):
     return L.signal_gate(sig, opn, pos, val, last, 0.02, fractional=False)
 
 
+_GATE = [*FILLS, ("opn", "SELECT account, symbol, min_by(side, seq) AS side FROM fills GROUP BY 1, 2 HAVING count(*) >= 7"),
+         ("sq", """SELECT f.*, p.qty AS held, l.price AS mark, v.nav, o.side AS open_side, row_number() OVER (PARTITION BY f.account, f.symbol ORDER BY f.seq) AS k
+            FROM fills f LEFT JOIN pos p USING (account, symbol) LEFT JOIN last l USING (symbol) LEFT JOIN val v USING (account) LEFT JOIN opn o USING (account, symbol)"""),
+         ("ask", """SELECT *, CASE WHEN side = 'buy' AND nav > 0 THEN 0.05 * nav END AS most FROM sq"""),
+         ("gate(account, symbol, k, seq, side, target_qty, h, a)", """SELECT account, symbol, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), any_value(held), CAST(0 AS DOUBLE) FROM ask GROUP BY 1, 2
+            UNION ALL SELECT account, symbol, k, seq, side, qty, h + CASE side WHEN 'buy' THEN a ELSE -a END, a FROM (
+              SELECT account, symbol, k, seq, side, qty, h, CASE WHEN side IS NOT DISTINCT FROM open_side OR qty <= 0 OR want < 1 THEN 0 ELSE want END AS a FROM (
+                SELECT s.*, g.h, CASE WHEN most IS NOT NULL AND abs(g.h * mark) + mark * qty > most THEN (most - abs(g.h * mark)) / mark ELSE qty END AS want
+                FROM gate g JOIN ask s ON s.account = g.account AND s.symbol = g.symbol AND s.k = g.k + 1))""")]
+
+
+@case("led05_sequential_gate", "SELECT account, symbol, seq, side, target_qty, a AS allowed_qty, h AS position_after FROM gate WHERE a > 0",
+      nums="target_qty allowed_qty position_after", ctes=_GATE)
+def _(s, sf):
+    f = fills(s, sf)
+    pos, last, val = book(s, sf)
+    sig = f.select("account", "symbol", "seq", "side", F.col("qty").alias("target_qty"))
+    opn = f.groupBy("account", "symbol").agg(F.min_by("side", "seq").alias("side"), F.count(F.lit(1)).alias("n")).filter("n >= 7")
+    return L.sequential_gate(sig, opn, pos, val, last, max_concentration=0.05, fractional=False)
+
+
 _UPD = [("upd", """SELECT o_orderkey // 3 AS order_id, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'P' THEN 'partially_filled' ELSE 'pending' END AS status, o_orderdate AS updated_at FROM orders""")]
 
 

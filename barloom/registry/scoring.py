@@ -1,5 +1,6 @@
 """Queries of fits, scores, blends and forests."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barloom.functions.sketches import sketch_boundaries
@@ -151,6 +152,22 @@ def _(s, sf):
     return metric
 
 
+def _ridge_arrays(x, y):
+    mx, my = x.mean(axis=0), y.mean()
+    w = np.linalg.solve((x - mx).T @ (x - mx) + np.eye(x.shape[1]), (x - mx).T @ (y - my))
+    return w, my - mx @ w
+
+
+@case("spl10_cv_arrays", """SELECT fold, CASE WHEN count(*) >= 10 THEN avg(CASE WHEN sign(y) = sign(pred) THEN CAST(1 AS DOUBLE) ELSE 0 END) ELSE 0.5 END AS direction_accuracy
+      FROM (SELECT r.fold, y, my - wa * ma - wb * mb + wa * pred_a + wb * pred_b AS pred FROM rs r JOIN fit USING (fold) WHERE NOT tr) GROUP BY 1""", "scores", "direction_accuracy",
+      [("rs", "SELECT *, month(date) <= 8 AS tr FROM scores"), ("trn", "SELECT * FROM rs WHERE tr"), ("fit", _closed("trn", "fold"))])
+def _(s, sf):
+    d = X.scores(s, sf).withColumn("role", F.when(F.month("date") <= 8, "train").otherwise("test"))
+    accuracy = lambda y, p: float((np.sign(y) == np.sign(p)).mean()) if len(y) >= 10 else 0.5
+    _, metric = K.cv_arrays(d, FEATS, "y", _ridge_arrays, lambda m, x: m[1] + x @ m[0], accuracy)
+    return metric.withColumnRenamed("metric", "direction_accuracy")
+
+
 @case("eval23_coef_stability", """SELECT feature, cv, mean_abs, CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INT) AS size_rank, median(cv) OVER () AS median_cv,
       row_number() OVER (ORDER BY mean_abs DESC, feature) <= 10 AS in_top FROM (SELECT feature, stddev_pop(w) / (abs(avg(w)) + 1e-10) AS cv, avg(abs(w)) AS mean_abs FROM (
         SELECT unnest(['pred_a', 'pred_b']) AS feature, unnest([wa, wb]) AS w FROM fit) GROUP BY 1)""", "scores", "cv mean_abs median_cv", _FIT)
