@@ -29,9 +29,9 @@ from barloom.llm.columns import fresh, stored, whole
 SPACE = "▁"
 CHUNK = 65_536
 FANIN = 64
-WORDS_KEPT = 700_000
+WORDS_KEPT = 200_000
 LONGEST_KEPT = 256
-SOLVED_KEPT = 100_000
+SOLVED_KEPT = 20_000
 UNKNOWN_COST = 10.0
 NEVER = -np.inf
 _LATTICES: dict[str, Lattice] = {}
