@@ -155,10 +155,12 @@ def walk_forward_ridge(
     Two passes over ``df`` and no row copied or shuffled: moments per block of the axis, then scoring with all models as one value.
     Rows with a null feature have no prediction and are left out.
     """
+    spans = [tuple(r) for r in folds.select("fold", "role", "lo", "hi").collect()]  # tens of rows, computed once
+    folds = df.sparkSession.createDataFrame(spans, "fold int, role string, lo long, hi long")
     models = fold_ridge(df, folds, features, y, alpha, idx=idx, train_role=train_role).filter(F.col("n") >= min_train)
-    tests = folds.filter(F.col("role") == test_role).select("fold", F.col("lo").cast("bigint"), F.col("hi").cast("bigint"))
-    spans = models.join(F.broadcast(tests), "fold").select("fold", "lo", "hi", "intercept", "coef")
-    every = spans.agg(F.collect_list(F.struct("fold", "lo", "hi", "intercept", "coef"))).scalar()  # tens of models
+    tests = folds.filter(F.col("role") == test_role).select("fold", "lo", "hi")
+    scorers = models.join(F.broadcast(tests), "fold").select("fold", "lo", "hi", "intercept", "coef")
+    every = scorers.agg(F.collect_list(F.struct("fold", "lo", "hi", "intercept", "coef"))).scalar()  # tens of models
     hits = F.filter("_models", lambda m: (m["lo"] <= F.col(idx)) & (F.col(idx) < m["hi"]))
     scored = df.drop("fold").withColumn("_models", every).withColumn("_m", F.array_max(hits)).filter(F.col("_m").isNotNull())
     total = F.col("_m.intercept")
