@@ -89,12 +89,6 @@ def _(s, sf):
     return R.walk_forward_trees(_indexed(s, sf), first, FEATS, "y")[1].history(s)
 
 
-@case("fit05_walk_forward_trees")
-def _(s, sf):
-    scored, _ = R.walk_forward_trees(_indexed(s, sf), wf(s, sf), FEATS, "y")
-    return scored.select("symbol", "date", "fold", "y", "pred")
-
-
 def _tree_sql(t: int, bins: int = 32, rate: float = 0.3, least: int = 20) -> list[tuple[str, str]]:
     """Tables of tree t of every fold, two levels deep: b{t}1, b{t}2 (splits), p{t+1} (rows with new predictions), o{t} (nodes)."""
     def level(rows: str, name: str) -> list[tuple[str, str]]:
@@ -122,18 +116,29 @@ def _tree_sql(t: int, bins: int = 32, rate: float = 0.3, least: int = 20) -> lis
 _DEEP = [*WFS[:3], ("vx", """SELECT fold, feature, x, row_number() OVER (PARTITION BY fold, feature ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY fold, feature) AS u FROM (
             SELECT DISTINCT fold, feature, x FROM (SELECT fold, unnest([0, 1]) AS feature, unnest([pred_a, pred_b]) AS x FROM ex WHERE role = 'train'))"""),
          ("eg", """SELECT fold, feature, list(x ORDER BY x) AS xs FROM vx WHERE k IN (SELECT CAST(floor(s / 32.0 * (u - 1)) AS BIGINT) FROM (SELECT unnest(range(1, 32)) AS s)) GROUP BY ALL"""),
-         ("p0", """SELECT ex.fold, role, y, 0 AS node, my AS p, len(list_filter(a.xs, lambda v: v < pred_a)) AS b0, len(list_filter(b.xs, lambda v: v < pred_b)) AS b1 FROM ex
+         ("p0", """SELECT symbol, date, ex.fold, role, y, 0 AS node, my AS p, len(list_filter(a.xs, lambda v: v < pred_a)) AS b0, len(list_filter(b.xs, lambda v: v < pred_b)) AS b1 FROM ex
             JOIN eg a ON a.fold = ex.fold AND a.feature = 0 JOIN eg b ON b.fold = ex.fold AND b.feature = 1
             JOIN (SELECT fold, avg(y) AS my FROM ex WHERE role = 'train' GROUP BY fold) m ON m.fold = ex.fold"""), *_tree_sql(0), *_tree_sql(1)]
 
 
+def _two_trees(s, sf):
+    """Two trees of two levels for every fold, with exact boundaries: as far as SQL goes. fit04 and fit06 run the full settings."""
+    config, folds, rows = B.BoostConfig(num_trees=2, max_depth=2, learning_rate=0.3, max_bins=32), wf(s, sf), _indexed(s, sf)
+    members = [R.Member(r["fold"], r["fold"], config) for r in folds.select("fold").distinct().collect()]
+    return rows, folds, R.grow_forests(rows, folds, FEATS, "y", members, capacity=2**20)
+
+
 @case("fit05_trees_depth2", "SELECT * FROM o0 UNION ALL SELECT * FROM o1", "days scores", "split_value leaf_value gain", _DEEP)
 def _(s, sf):
-    config = B.BoostConfig(num_trees=2, max_depth=2, learning_rate=0.3, max_bins=32)
-    folds = wf(s, sf)
-    members = [R.Member(r["fold"], r["fold"], config) for r in folds.select("fold").distinct().collect()]
-    forests = R.grow_forests(_indexed(s, sf), folds, FEATS, "y", members, capacity=2**20)
-    return forests.forest(s).select("fold", "tree_id", "node_id", "feature_idx", "split_value", "leaf_value", "num_samples", "gain")
+    forest = _two_trees(s, sf)[2].forest(s)
+    return forest.select("fold", "tree_id", "node_id", "feature_idx", "split_value", "leaf_value", "num_samples", "gain")
+
+
+@case("fit05_walk_forward_trees", """SELECT symbol, date, max_by(p, fold) AS pred, any_value(y) AS y, CAST(max(fold) AS INT) AS fold FROM p2 WHERE role = 'val' GROUP BY 1, 2""",
+      "days scores", "pred y", _DEEP)
+def _(s, sf):
+    rows, folds, forests = _two_trees(s, sf)
+    return R.score_forests(rows, forests, folds).select("symbol", "date", "pred", "y", "fold")
 
 
 @case("fit06_hp_grid_by_sharpe")
