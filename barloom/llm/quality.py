@@ -160,8 +160,9 @@ def quality_verdicts(docs: DataFrame, reach: int = 3, min_docs: int = 50, text:
 
 def quality_filter(docs: DataFrame, reach: int = 3, min_docs: int = 50, text: str = "text", lang: str = "lang",
                    source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only. Texts are read twice: for the limits, then for the verdicts."""
+    """The rows of ``docs`` that pass, with their own columns only. Texts are read twice: for the sketch, which is written to the shared
+    folder, then for the verdicts."""
     counted, names = with_counts(docs, text)
     slim = counted.select(lang, source, *names.values())
-    result, kept = judged(counted, names, limits(sketches(slim, names, lang, source), reach, min_docs), lang, source)
+    result, kept = judged(counted, names, limits(stored(sketches(slim, names, lang, source)), reach, min_docs), lang, source)
     return result.filter(F.col(kept)).select(*[result[c] for c in docs.columns])
