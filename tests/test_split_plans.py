@@ -115,3 +115,30 @@ def test_long_keys_with_many_values(spark):
     compare(lambda: G.along_time(d, {"s": lambda t: F.sum("y").over(t.last(20))}, by=["fold"], time="at", back=19))
     compare(lambda: portfolio.long_short_pooled(d.withColumn("date", F.col("at")), "pred", "y"), ("fold",))
     compare(lambda: portfolio.ensemble_signal_output(d.withColumn("date", F.lit(1)), "pred", by=["fold"]), ("at",))
+
+
+def test_average_rank_cells(spark):
+    """A value that fills most of a long key, nulls, NaN, null keys, whole numbers, and no key at all, cut into cells of 300 rows."""
+    rng = np.random.default_rng(11)
+    n = 6000
+    d = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "k": np.where(rng.random(n) < 0.7, 0, rng.integers(1, 40, n)), "x": rng.normal(size=n)}))
+    d = d.withColumns({"k": F.when(F.col("k") != 3, F.col("k")), "x": F.when(F.col("at") % 2 == 0, F.lit(0.25)).when(F.col("at") % 5 == 0, F.lit(None)).when(
+        F.col("at") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x")), "m": F.col("at") % 11}).repartition(5)
+    for by in (["k"], []):
+        plain = G.average_rank(d, by, ["x", "m"], counts=True, rows=10**6).toPandas()
+        split = G.average_rank(d, by, ["x", "m"], counts=True, rows=300).toPandas()
+        same(plain, split, ("at",))
+
+
+def test_split_rank_runs_its_input_once(spark, split_small):
+    """The split plan may not compute what it ranks again for counts, samples and joins."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    d = spark.range(2000).selectExpr("int(id % 2) as fold", "id * 7 % 1999 / 10 as y", "id * 11 % 1997 / 10 as p").mapInArrow(rows, "fold int, y double, p double")
+    assert metrics.spearman_ic(d, "y", "p").count() == 2
+    assert runs.value == 2000
