@@ -36,3 +36,19 @@ def test_null_distribution(spark):
     again = {r.fold: r for r in permutation_test(spark.createDataFrame(d).repartition(9), "y", "p", 200).collect()}
     assert all(abs(again[f].null_mean - got[f].null_mean) < 1e-12 for f in got)
     assert permutation_test(spark.createDataFrame(d).filter("false"), "y", "p", 3).count() == 0
+
+
+def test_tiles_hold_parts_of_a_key(spark, monkeypatch):
+    """Pieces, shares and holders of a few rows give the sums of whole keys, and ranks are moved once per share, not per shuffle."""
+    from barloom.operators import inference
+
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame(pd.DataFrame({"fold": [None if i % 3 == 0 else i % 3 for i in range(700)], "symbol": np.arange(700), "date": 1,
+                                            "y": rng.normal(size=700), "p": rng.integers(0, 20, 700).astype(float)}), "fold double, symbol long, date long, y double, p double")
+    whole = permutation_test(d, "y", "p", 40).toPandas().sort_values("fold").reset_index(drop=True)
+    for name, value in (("PIECE", 8), ("HELD", 5), ("TAKEN", 3)):
+        monkeypatch.setattr(inference, name, value)
+    plan = permutation_test(d, "y", "p", 40)
+    parts = plan.toPandas().sort_values("fold").reset_index(drop=True)
+    pd.testing.assert_frame_equal(whole, parts, rtol=1e-12)
+    assert list(parts.fold) == [1, 2]
