@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,23 +210,79 @@ def cv_runner(
     return stacked, metric_fn(stacked) if metric_fn else None
 
 
+# Test rows that one call of a flat prediction takes at most, about.
+PART_ROWS = 1_000_000
+
+
+def _flat_arrays(
+    folded: DataFrame, features: list[str], y: str, train_fn: Callable, predict_fn: Callable, metric_fn: Callable | None,
+    role: str, test_role: str, parts: int, out: str,
+) -> tuple[DataFrame, DataFrame | None]:
+    """``cv_arrays`` on flat arrays: a fit moves its numbers only, a model meets the test rows of its fold in ``parts`` parts."""
+    kept = [f for f in folded.schema.fields if f.name not in (out, "_metric")]
+    key = folded.select("fold").schema.fields
+    numbers = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate([*features, y])]
+    test = folded.filter(F.col(role) == test_role)
+    train = attach(folded.filter(F.col(role) == "train").select("fold", *numbers), test.select("fold").distinct(), ["fold"], "left_semi")
+
+    def matrix(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
+        full = np.empty((rows.num_rows, len(names)))
+        for i, c in enumerate(names):
+            full[:, i] = rows.column(c).to_numpy()
+        return full
+
+    def fit(rows: pa.Table) -> pa.Table:
+        full = matrix(rows, [f"_x{i}" for i in range(len(features) + 1)])
+        full = full[~np.isnan(full).any(axis=1)]
+        model = cloudpickle.dumps(train_fn(np.ascontiguousarray(full[:, :-1]), full[:, -1].copy()))
+        return pa.table({"fold": rows.column("fold").slice(0, 1), "_model": pa.array([model], pa.binary())})
+
+    models = train.groupBy("fold").applyInArrow(fit, T.StructType([*key, T.StructField("_model", T.BinaryType())]))
+    models = models.select(F.col("fold").alias("_of"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_to"), "_model")
+    part = F.pmod(F.xxhash64(*folded.columns), F.lit(parts)).cast("int")
+    dealt = test.select(*[f.name for f in kept], *numbers[:-1], part.alias("_part"))
+
+    def predict(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.select([f.name for f in kept])
+        if not left.num_rows or not right.num_rows:
+            return rows.slice(0, 0).append_column(out, pa.array([], pa.float64()))
+        model = cloudpickle.loads(left.column("_model")[0].as_py())
+        pred = np.asarray(predict_fn(model, matrix(right, [f"_x{i}" for i in range(len(features))])), float)
+        return rows.append_column(out, pa.array(pred))
+
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
+    scored = models.groupBy("_of", "_to").cogroup(dealt.groupBy("fold", "_part")).applyInArrow(predict, schema)
+    if not metric_fn:
+        return scored, None
+
+    def measure(rows: pa.Table) -> pa.Table:
+        value = float(metric_fn(rows.column("_y").to_numpy(), rows.column("_p").to_numpy()))
+        return pa.table({"fold": rows.column("fold").slice(0, 1), "metric": pa.array([value], pa.float64())})
+
+    pairs = scored.select("fold", F.col(y).cast("double").alias("_y"), F.col(out).alias("_p"))
+    return scored, pairs.groupBy("fold").applyInArrow(measure, T.StructType([*key, T.StructField("metric", T.DoubleType())]))
+
+
 def cv_arrays(
     folded: DataFrame, features: Sequence[str], y: str, train_fn: Callable[[np.ndarray, np.ndarray], object],
     predict_fn: Callable[[object, np.ndarray], np.ndarray], metric_fn: Callable[[np.ndarray, np.ndarray], float] | None = None, *,
-    role: str = "role", test_role: str = "test", panel: tuple[str, str] | None = None, most_rows: int = 2_000_000, out: str = "pred",
+    role: str = "role", test_role: str = "test", panel: tuple[str, str] | None = None, most_rows: int | None = None, out: str = "pred",
 ) -> tuple[DataFrame, DataFrame | None]:
     """Fit and predict all folds in one job with user callables on arrays: ``train_fn(x, y)``, ``predict_fn(model, x)``, ``metric_fn(y, pred)``.
 
-    A fold's training and test rows meet in one task by cogroup, so each side of a fold may have ``most_rows`` rows at most (an error
-    says so before any fit; ``cv_runner`` takes folds of any size). Flat arrays are (rows, features) without null targets or features in
-    training. With ``panel`` = (time, symbol), arrays are (times, symbols, features) and (times, symbols), NaN where a row is missing.
-    Returns the test rows with ``out``, and (fold, metric).
+    A fit takes the features and targets of its fold in one task, as arrays of doubles, and so does a metric with targets and
+    predictions; ``most_rows`` refuses folds with longer sides before any fit (``cv_runner`` has no such arrays). Flat arrays are (rows,
+    features) without null targets or features in training; a flat fold of more than PART_ROWS test rows is predicted in parts. With
+    ``panel`` = (time, symbol), arrays are (times, symbols, features) and (times, symbols), NaN where a row is missing, and a fold's
+    rows meet in one task by cogroup. Returns the test rows with ``out``, and (fold, metric).
     """
-    longest = folded.groupBy("fold", role).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (longest or 0) > most_rows:
+    longest = folded.groupBy("fold", role).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most_rows is not None and longest > most_rows:
         raise ValueError(f"a fold has {longest} rows, more than {most_rows}: use cv_runner")
+    if not panel:
+        return _flat_arrays(folded, list(features), y, train_fn, predict_fn, metric_fn, role, test_role, max(1, -(-longest // PART_ROWS)), out)
     features, every = list(features), folded.columns
-    own = [*(panel or ()), *features, y]
+    own = [*panel, *features, y]
     names = dict.fromkeys(["fold", *own])
     # Columns of the two sides get names of their own: both come from one table.
     train = folded.filter(F.col(role) == "train").select(*[F.col(c).alias(f"_train_{i}") for i, c in enumerate(names)])
@@ -233,8 +291,6 @@ def cv_arrays(
 
     def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, tuple]:
         x, target = rows[features].to_numpy(float), rows[y].to_numpy(float)
-        if not panel:
-            return x, target, (slice(None),)
         t, times = pd.factorize(rows[panel[0]], sort=True)
         s, symbols = pd.factorize(rows[panel[1]], sort=True)
         cube, plane = np.full((len(times), len(symbols), len(features)), np.nan), np.full((len(times), len(symbols)), np.nan)
@@ -245,8 +301,6 @@ def cv_arrays(
         if not len(left) or not len(right):
             return pd.DataFrame(columns=schema.names)
         left.columns, right.columns = list(names), every
-        if not panel:
-            left = left.dropna(subset=[*features, y])
         model = train_fn(*arrays(left)[:2])
         x, target, at = arrays(right)
         pred = np.asarray(predict_fn(model, x), float)

@@ -75,3 +75,19 @@ def test_arrays_flat_and_panel(spark):
     assert a == b and len(a) == 400
     with pytest.raises(ValueError):
         cv_arrays(df, ["x", "z"], "y", fit, lambda m, x: x @ m, most_rows=100)
+
+
+def test_flat_arrays_have_no_longest_fold(spark, monkeypatch):
+    """Two million training rows and more in a fold are fitted; test rows in parts get the fold's one model; nulls stay nulls."""
+    from barloom.operators import splits
+
+    long = spark.range(2_100_500).selectExpr("id % 1 as fold", "if(id < 2100000, 'train', 'test') as role", "id", "double(id % 7) as x",
+                                             "if(id = 5, null, 2.0D * (id % 7) + 1) as y")
+    fit = lambda x, y: (len(y), float((x[:, 0] * y).sum() / (x[:, 0] ** 2).sum()))
+    _, metric = cv_arrays(long, ["x"], "y", fit, lambda m, x: np.full(len(x), m[0]), lambda y, p: float(len(y) + p[0]))
+    assert [(r.fold, r.metric) for r in metric.collect()] == [(0, 2_099_999 + 500)]
+    monkeypatch.setattr(splits, "PART_ROWS", 60)
+    small = long.filter("id < 300 or id >= 2100300")
+    scored, metric = cv_arrays(small, ["x"], "y", fit, lambda m, x: m[1] * x[:, 0], lambda y, p: float(len(y)))
+    got = scored.toPandas()
+    assert len(got) == 200 and got.id.is_unique and (got.pred / got.x)[got.x > 0].round(9).nunique() == 1 and metric.first().metric == 200
