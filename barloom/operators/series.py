@@ -7,9 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barloom.functions.columns import lit
 from barloom.functions.grouping import along_time, attach, group_stats, positions, quantiles
@@ -258,30 +260,55 @@ def denoised_returns(df: DataFrame, col: str, min_window: int = 252, out: str =
 
 # ---- GARCH ------------------------------------------------------------------------------------
 
-def _likelihood(x: np.ndarray, var: float, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Negative log likelihood for vectors of parameters (omega = s * var * (1 - a - b))."""
-    omega, h, total = s * var * (1 - a - b), np.full(len(a), var), np.zeros(len(a))
-    sq = x * x
-    for t in range(len(x)):
-        total += np.log(h) + sq[t] / h
-        h = omega + a * sq[t] + b * h
+def _likelihoods(xs: Sequence[np.ndarray], var: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Negative log likelihood of each series for its row of parameters (omega = s * var * (1 - a - b)). Longer series come first."""
+    sizes = np.array([len(x) for x in xs])
+    sq = np.zeros((sizes.max(initial=0), len(xs), 1))
+    for i, x in enumerate(xs):
+        sq[:len(x), i, 0] = x * x
+    omega, h, total = s * var[:, None] * (1 - a - b), np.repeat(var[:, None], a.shape[1], axis=1), np.zeros(a.shape)
+    going = len(xs) - np.searchsorted(sizes[::-1], np.arange(len(sq)), side="right")
+    for m in np.unique(going)[::-1]:
+        w, p, q, g, t = omega[:m], a[:m], b[:m], h[:m].copy(), total[:m]
+        for x in sq[going == m, :m]:
+            t += np.log(g) + x / g
+            g = w + p * x + q * g
+        h[:m] = g
     return total
 
 
-def fit_garch(x: np.ndarray, rounds: int = 7) -> tuple[float, float, float]:
-    """omega, alpha, beta by a shrinking grid over the likelihood of demeaned returns."""
-    x = np.asarray(x, float) - np.mean(x)
-    var = float(np.var(x))
-    centre, width = np.array([0.25, 0.5, 1.0]), np.array([0.25, 0.49, 0.5])
+def fit_garch_all(xs: Sequence[np.ndarray], rounds: int = 7) -> list[tuple[float, float, float]]:
+    """``fit_garch`` of several series in one loop over their rows."""
+    if not len(xs):
+        return []
+    order = sorted(range(len(xs)), key=lambda i: -len(xs[i]))
+    demeaned = [np.asarray(xs[i], float) - np.mean(xs[i]) for i in order]
+    var = np.array([float(np.var(x)) for x in demeaned])
+    centre, width = np.tile([0.25, 0.5, 1.0], (len(xs), 1)), np.array([0.25, 0.49, 0.5])
     for _ in range(rounds):
-        axes = [np.linspace(c - w, c + w, 5) for c, w in zip(centre, width)]
-        a, b, s = (v.ravel() for v in np.meshgrid(*axes))
+        grids = []
+        for c0 in centre:
+            grids.append([v.ravel() for v in np.meshgrid(*[np.linspace(c - w, c + w, 5) for c, w in zip(c0, width)])])
+        a, b, s = (np.array(v) for v in zip(*grids))
         ok = (a >= 0) & (b >= 0) & (a + b < 0.9999) & (s > 0.05)
-        a, b, s = a[ok], b[ok], s[ok]
-        best = int(np.argmin(_likelihood(x, var, a, b, s)))
-        centre, width = np.array([a[best], b[best], s[best]]), width * 0.5
-    a, b, s = centre
-    return float(s * var * (1 - a - b)), float(a), float(b)
+        # Points outside the bounds stand for the centre, which lies inside, and never win.
+        a, b, s = (np.where(ok, v, centre[:, [i]]) for i, v in enumerate((a, b, s)))
+        best = np.where(ok, _likelihoods(demeaned, var, a, b, s), np.inf).argmin(axis=1)
+        at = np.arange(len(xs)), best
+        centre, width = np.stack([a[at], b[at], s[at]], axis=1), width * 0.5
+    out: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)] * len(xs)
+    for i, v, (a, b, s) in zip(order, var, centre, strict=True):
+        out[i] = float(s * v * (1 - a - b)), float(a), float(b)
+    return out
+
+
+def fit_garch(x: np.ndarray, rounds: int = 7) -> tuple[float, float, float]:
+    """omega, alpha, beta by a shrinking grid over the likelihood of demeaned returns."""
+    return fit_garch_all([x], rounds)[0]
+
+
+AT_ONCE = 64  # series fitted in one loop
+HELD_ROWS = 100_000  # rows of theirs beyond which they are fitted at once
 
 
 def garch_fit(
@@ -295,17 +322,42 @@ def garch_fit(
     names = ["omega", "alpha", "beta", "train_var"]
     schema = T.StructType([*keys, *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("degenerate", T.BooleanType())])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(time)[ret].to_numpy(float)
-        var = float(np.var(x))
-        if var < 1e-8 or len(x) < min_rows:
-            return pd.DataFrame([(*key, None, None, None, var, True)], columns=schema.names)
-        omega, alpha, beta = fit_garch(x)
-        bad = omega < max(1e-6, var * 1e-4) or alpha < 0.005 or alpha + beta >= 1
-        return pd.DataFrame([(*key, omega, alpha, beta, var, bad)], columns=schema.names)
-
-    train = df.filter((F.col(role) == "train") & F.col(ret).isNotNull()).select(*by, time, ret)
-    return train.groupBy(*by).applyInPandas(run, schema)
+    def fitted(spans: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
+        var = [float(np.var(x)) for _, x in spans]
+        flat = [v < 1e-8 or len(x) < min_rows for v, (_, x) in zip(var, spans, strict=True)]
+        models = iter(fit_garch_all([x for f, (_, x) in zip(flat, spans, strict=True) if not f]))
+        rows = []
+        for (span, _), v, f in zip(spans, var, flat, strict=True):
+            omega, alpha, beta = (None, None, None) if f else next(models)
+            rows.append((*span, omega, alpha, beta, v, f or omega < max(1e-6, v * 1e-4) or alpha < 0.005 or alpha + beta >= 1))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans: list[tuple[tuple, np.ndarray]] = []
+        key, parts, held = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))], strict=True)) if by else [()] * batch.num_rows
+            x = batch.column(len(by)).to_numpy(zero_copy_only=False).astype(float)
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if key is not None and names[lo] != key:
+                    spans.append((key, np.concatenate(parts)))
+                    parts = []
+                    if len(spans) >= AT_ONCE or held >= HELD_ROWS:
+                        yield fitted(spans)
+                        spans, held = [], 0
+                key = names[lo]
+                parts.append(x[lo:hi])
+                held += hi - lo
+        if key is not None:
+            yield fitted([*spans, (key, np.concatenate(parts))])
+
+    train = df.filter((F.col(role) == "train") & F.col(ret).isNotNull()).select(*by, F.col(ret).cast("double").alias("_x"), time)
+    dealt = train.repartition(*by) if by else train.repartition(1)
+    kinds = to_arrow_schema(schema).types
+    return dealt.sortWithinPartitions(*by, time).drop(time).mapInArrow(run, schema)
 
 
 def garch_forecast(

@@ -91,3 +91,37 @@ def test_short_series_take_fewer_levels(spark):
     got = S.wavelet_denoise(frame(spark, data), "x").toPandas().sort_values("date")
     for k, v in data.items():
         assert np.allclose(got[got.symbol == k]["denoised"], S.denoise_array(v), atol=1e-9), k
+
+
+def test_garch_fits_together_as_alone(spark):
+    """Many spans of several lengths, short and flat ones among them and a null key: each as if it were fitted alone."""
+    def alone(x, rounds=7):
+        x = x - x.mean()
+        var, centre, width = float(np.var(x)), np.array([0.25, 0.5, 1.0]), np.array([0.25, 0.49, 0.5])
+        for _ in range(rounds):
+            a, b, s = (v.ravel() for v in np.meshgrid(*[np.linspace(c - w, c + w, 5) for c, w in zip(centre, width)]))
+            ok = (a >= 0) & (b >= 0) & (a + b < 0.9999) & (s > 0.05)
+            a, b, s = a[ok], b[ok], s[ok]
+            omega, h, total = s * var * (1 - a - b), np.full(len(a), var), np.zeros(len(a))
+            for v in x * x:
+                total += np.log(h) + v / h
+                h = omega + a * v + b * h
+            best = int(np.argmin(total))
+            centre, width = np.array([a[best], b[best], s[best]]), width * 0.5
+        return centre[2] * var * (1 - centre[0] - centre[1]), centre[0], centre[1]
+
+    rng, frames, want = np.random.default_rng(5), [], {}
+    for i, n in enumerate([100, 173, 173, 40, 240, 101, 300] * 10):
+        x = rng.normal(0, 0.02 * (1 + i % 3), n) if i != 4 else np.zeros(n)
+        name = None if i == 8 else f"S{i:02d}"
+        frames.append(pd.DataFrame({"symbol": name, "fold": 0, "date": np.arange(n), "role": "train", "x": x}))
+        want[name] = alone(x) if n >= 100 and i != 4 else None
+    rows = spark.createDataFrame(pd.concat(frames, ignore_index=True)).repartition(3)
+    assert "FlatMapGroups" not in S.garch_fit(rows, "x")._jdf.queryExecution().executedPlan().toString()
+    got = {r["symbol"]: r for r in S.garch_fit(rows, "x").collect()}
+    assert got.keys() == want.keys()
+    for name, w in want.items():
+        if w is None:
+            assert got[name]["omega"] is None and got[name]["degenerate"]
+        else:
+            assert np.allclose([got[name]["omega"], got[name]["alpha"], got[name]["beta"]], w, rtol=1e-12)
