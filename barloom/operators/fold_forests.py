@@ -3,11 +3,13 @@
 Rows are binned once per fold, with boundaries from the fold's training rows, and kept as blocks: the bins of some thousand rows as
 bytes, with targets and one prediction per member (a fold with its settings). A job per level adds up, inside tasks, one flat array of
 gradients, hessians and counts per (member, node); of two children only the smaller is counted, the other is its parent less it. The
-arrays meet by (member, parent), where the best split is chosen; the driver sees splits and node totals.
+arrays meet by (member, parent), where the best split is chosen; the driver sees splits, node totals and ``COLLECTED`` bytes of arrays.
 
-Tasks hold members x 2^(depth - 1) arrays of 24 bytes per feature and bin, and ship them early beyond ``HELD`` bytes. Predictions move
-on inside the tasks from trees not yet written; blocks are written anew every ``rewrite_every`` trees. Histograms of one level are kept
-for the next; where an executor goes with them, the levels above, a few at most, are counted again.
+Tasks hold members x 2^(depth - 1) arrays of 24 bytes per feature and bin, and ship them early beyond ``HELD`` bytes; small ones are added
+up on the driver. The blocks and the histograms of a level are RDDs: some hundred trees have thousands of levels, and each would be
+planned anew as a DataFrame. Blocks are kept with the predictions so far, which move on by one tree in the first level of the next, and
+are checkpointed every ``rewrite_every`` trees. Histograms of one level are kept for the next; where an executor goes with them, the
+levels above are counted again.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +28,11 @@ from barloom.functions.sketches import CAPACITY, PARTS, Distinct, merged, packed
 from barloom.operators.boosting import FOREST_SCHEMA, HELD, BoostConfig
 from barloom.operators.portfolio import long_short_daily, long_short_summary
 from barloom.operators.scoring import GBT_GRID
-from barloom.session import shared_folder
+from barloom.session import checkpoints, shared_folder
 
 REDUCED = 2**24
+COLLECTED = 2**26
+TASK_ROWS = 2**17
 ArrayLoss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -151,10 +155,20 @@ def grow_forests(
                if m.fold in starts and starts[m.fold][1] >= min_train and starts[m.fold][2] >= min_val]
     order = {f: [g.member.name for g in growths if g.member.fold == f] for f in wanted}
     spark = df.sparkSession
-    state = _write(spark, rows.mapInArrow(_blocks(spans, order, edges, starts, k, train_role, val_role), BLOCK))
+    checkpoints(spark)
+    state = _write(spark, rows.mapInArrow(_blocks(spans, order, edges, starts, k, train_role, val_role), BLOCK)).rdd.map(tuple)
+    work = sum(len(names) * sum(starts[f][1:]) for f, names in order.items() if names)
+    state = state.coalesce(max(1, -(-work // TASK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
     while any(not g.done for g in growths):
         active = [g for g in growths if not g.done]
-        parents = None
+        parents = moved = None
+        if any(len(g.trees) > g.written for g in active):
+            before, moved = state, state.mapPartitions(_moved(_pending(active), order, k)).persist(StorageLevel.MEMORY_AND_DISK)
+            state = moved
+            for g in active:
+                g.written = len(g.trees)
+            if active[0].written % rewrite_every == 0:
+                state.checkpoint()
         for depth in range(max(g.member.config.max_depth for g in active)):
             if depth == 0:
                 for g in active:
@@ -162,24 +176,21 @@ def grow_forests(
             jobs = {g.member.name: g for g in active if g.open and depth < g.member.config.max_depth}
             if not jobs:
                 break
-            above, parents = parents, _level(spark, state, jobs, order, parents, depth, k, loss)
-            for r in parents.drop("hist").collect():
+            above = parents
+            found, parents = _level(state, jobs, order, parents, depth, k, loss)
+            for r in found:
                 _choose(growths, r, depth)
-            if above is not None:
-                above.unpersist()
+            _dropped(above)
+            if depth == 0 and moved is not None:
+                before.unpersist()
             for g in active:  # those that stop now forget the tree they began
                 if depth == 0 and g.done:
                     g.trees, g.open = g.trees[:g.best_trees], []
             active = [g for g in active if not g.done]
-        if parents is not None:
-            parents.unpersist()
+        _dropped(parents)
         for g in active:
             _finish(g)
-        if active and max(len(g.trees) - g.written for g in active) >= rewrite_every:
-            pending = _pending(active)
-            state = _write(spark, state.filter(F.col("fold").isin([g.member.fold for g in active])).mapInArrow(_moved(pending, order, k), BLOCK))
-            for g in active:
-                g.written = len(g.trees)
+    state.unpersist()
     return FoldForests(features, growths, edges)
 
 
@@ -271,20 +282,17 @@ def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["fold", "block", "val", "bins", "y", "p"])
 
 
-def _each_block(batches: Iterator[pa.RecordBatch], order: dict[int, list[int]], k: int):
-    for batch in batches:
-        for fold, block, val, bins, y, p in zip(*[batch.column(c) for c in range(6)], strict=True):
-            fold = fold.as_py()
-            y = np.frombuffer(y.as_buffer())
-            yield (fold, block.as_py(), np.frombuffer(val.as_buffer(), bool), np.frombuffer(bins.as_buffer(), np.uint8).reshape(-1, k), y,
-                   dict(zip(order[fold], np.frombuffer(p.as_buffer()).reshape(len(order[fold]), -1), strict=True)))
+def _each_block(blocks: Iterator[tuple], order: dict[int, list[int]], k: int):
+    for fold, block, val, bins, y, p in blocks:
+        yield (fold, block, np.frombuffer(val, bool), np.frombuffer(bins, np.uint8).reshape(-1, k), np.frombuffer(y),
+               dict(zip(order[fold], np.frombuffer(p).reshape(len(order[fold]), -1), strict=True)))
 
 
 Trees = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _pending(growths: Sequence[Growth]) -> dict[int, tuple[float, int, Trees]]:
-    """Per member, the trees that the written predictions don't hold yet."""
+    """Per member, the trees that the kept predictions don't hold yet."""
     return {g.member.name: (g.member.config.learning_rate, g.member.config.max_depth, [g.arrays(t) for t in g.trees[g.written:]]) for g in growths}
 
 
@@ -304,25 +312,37 @@ def _predicted(p: np.ndarray, bins: np.ndarray, rate: float, depth: int, trees:
 
 
 def _moved(pending: dict, order: dict[int, list[int]], k: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fold, block, val, bins, y, p in _each_block(batches, order, k):
-            new = [_predicted(p[m], bins, *pending[m]) if m in pending else p[m] for m in order[fold]]
-            yield _block_batch([(fold, block, val.tobytes(), bins.tobytes(), y.tobytes(), np.array(new).tobytes())])
+    """Blocks with the predictions of the pending trees added; those whose members are all done are left out."""
+    def work(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        for fold, block, val, bins, y, p in _each_block(blocks, order, k):
+            if any(m in pending for m in order[fold]):
+                new = [_predicted(p[m], bins, *pending[m]) if m in pending else p[m] for m in order[fold]]
+                yield fold, block, val.tobytes(), bins.tobytes(), y.tobytes(), np.array(new).tobytes()
 
     return work
 
 
-LEVEL = T.StructType([
-    T.StructField("member", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("hist", T.BinaryType()),
-    *[T.StructField(c, T.DoubleType()) for c in ("gain", "g", "h", "gl", "hl")],
-    *[T.StructField(c, T.LongType()) for c in ("n", "nl", "feature", "bin")]])
-PARTIAL = "member int, parent bigint, kind int, hist binary"
+LEVEL = ("member", "node", "hist", "gain", "g", "h", "gl", "hl", "n", "nl", "feature", "bin")
 WHOLE, SMALL, LOSSES = 0, 1, 2
 
 
-def _level(spark: SparkSession, state: DataFrame, jobs: dict[int, Growth], order: dict, parents: DataFrame | None, depth: int, k: int, loss: ArrayLoss) -> DataFrame:
-    """Histograms and best splits of all open nodes of all members; at depth 0 also the losses of the trees before (node -1)."""
-    pending = _pending(list(jobs.values()))
+def _without_hist(r: tuple) -> dict:
+    return {name: v for name, v in zip(LEVEL, r, strict=True) if name != "hist"}
+
+
+Hists = RDD | dict[tuple[int, int], bytes] | None
+
+
+def _dropped(hists: Hists) -> None:
+    if isinstance(hists, RDD):
+        hists.unpersist()
+
+
+def _level(state: RDD, jobs: dict[int, Growth], order: dict, parents: Hists, depth: int, k: int, loss: ArrayLoss) -> tuple[list[dict], Hists]:
+    """Best splits of all open nodes of all members, at depth 0 also the losses of the trees before (node -1), and the histograms.
+
+    Where the arrays of all tasks take ``COLLECTED`` bytes at most, they are added up on the driver, without a shuffle.
+    """
     width = max(g.member.config.max_bins for g in jobs.values())
     settings = {m: g.member.config for m, g in jobs.items()}
     growing = {m: g.arrays({"splits": g.splits, "leaves": {}})[:2] for m, g in jobs.items()}
@@ -335,13 +355,12 @@ def _level(spark: SparkSession, state: DataFrame, jobs: dict[int, Growth], order
             small[m][a if g.totals[a][2] <= g.totals[b][2] else b] = parent
     used = {m: _drawn_features(settings[m], number[m], k) for m in jobs}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(blocks: Iterator[tuple]) -> Iterator[tuple]:
         held: dict[tuple[int, int, int], np.ndarray] = {}
-        for fold, block, val, bins, y, p in _each_block(batches, order, k):
+        for fold, block, val, bins, y, p in _each_block(blocks, order, k):
             train = ~val
             for m in [m for m in order[fold] if m in jobs_names]:
-                now = _predicted(p[m], bins, *pending[m])
-                cost, g, h = loss(y, now)
+                cost, g, h = loss(y, p[m])
                 if depth == 0:
                     held[m, -1, LOSSES] = held.get((m, -1, LOSSES), 0) + np.array([cost[train].sum(), train.sum(), cost[val].sum(), val.sum()])
                 rows = train if settings[m].subsample_row >= 1 else train & _drawn_rows(settings[m], number[m], block, len(y))
@@ -352,45 +371,44 @@ def _level(spark: SparkSession, state: DataFrame, jobs: dict[int, Growth], order
                     key = (m, parent, SMALL if depth else WHOLE)
                     held[key] = held.get(key, 0) + _histogram(own[here], g[rows][here], h[rows][here], width)
             if sum(a.nbytes for a in held.values()) > HELD:
-                yield _partials(held)
+                yield from _partials(held)
                 held = {}
-        yield _partials(held)
+        yield from _partials(held)
 
     jobs_names = set(jobs)
-    active = sorted({g.member.fold for g in jobs.values()})
-    parts = state.filter(F.col("fold").isin(active)).mapInArrow(count, PARTIAL)
-    if depth:
-        split = [F.struct(F.lit(m), F.lit(n).cast("bigint")) for m in jobs for n in small[m].values()]
-        kept = parents.filter(F.struct("member", "node").isin(split)).select("member", F.col("node").alias("parent"), F.lit(WHOLE).alias("kind"), "hist")
-        parts = parts.unionByName(kept)
+    split = {(m, n) for m in jobs for n in small[m].values()} if depth else set()
     is_open = {(m, n) for m, g in jobs.items() for n in g.open}
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(found: Iterator[tuple]) -> Iterator[tuple]:
         held: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            for m, parent, kind, body in zip(*[batch.column(i) for i in range(4)], strict=True):
-                key = m.as_py(), parent.as_py(), kind.as_py()
-                held[key] = held.get(key, 0) + np.frombuffer(body.as_buffer())
-        out = []
+        for (m, parent), (kind, body) in found:
+            held[m, parent, kind] = held.get((m, parent, kind), 0) + np.frombuffer(body)
         for (m, parent, kind), flat in held.items():
             if kind == LOSSES:
-                out.append((m, -1, b"", *flat, 0.0, 0, 0, 0, 0))
+                yield m, -1, b"", *map(float, flat), 0.0, 0, 0, 0, 0
             elif depth == 0:
-                out.append(_best(m, 0, flat.reshape(k, width, 3), settings[m], used[m]))
+                yield _best(m, 0, flat.reshape(k, width, 3), settings[m], used[m])
             elif kind == SMALL:
                 child = next(c for c, p in small[m].items() if p == parent)
                 hist = flat.reshape(k, width, 3)
                 rest = held[m, parent, WHOLE].reshape(k, width, 3) - hist
                 sibling = child + 1 if child % 2 else child - 1
-                out += [_best(m, n, a, settings[m], used[m]) for n, a in ((child, hist), (sibling, rest)) if (m, n) in is_open]
-        columns = list(zip(*out, strict=True)) or [[]] * 12
-        types = [pa.int32(), pa.int64(), pa.binary(), *[pa.float64()] * 5, *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], LEVEL.names)
+                yield from (_best(m, n, a, settings[m], used[m]) for n, a in ((child, hist), (sibling, rest)) if (m, n) in is_open)
 
     groups = sum(max(1, len(small[m])) for m in jobs)
-    arrays = groups * k * width * 24 * 3  # bytes of a parent, its child and the sibling
-    tasks = max(1, min(groups, arrays // REDUCED))
-    return parts.repartition(tasks, "member", "parent").mapInArrow(decide, LEVEL).persist(StorageLevel.MEMORY_AND_DISK)
+    parts, size = state.mapPartitions(count), groups * k * width * 24
+    if not isinstance(parents, RDD):
+        kept = [(key, (WHOLE, parents[key])) for key in split]
+        if size * parts.getNumPartitions() <= COLLECTED:
+            out = list(decide(iter([*parts.collect(), *kept])))
+            return [_without_hist(r) for r in out], {(r[0], r[1]): r[2] for r in out}
+        parts = parts.union(state.context.parallelize(kept)) if kept else parts
+    else:
+        parts = parts.union(parents.filter(lambda r: (r[0], r[1]) in split).map(lambda r: ((r[0], r[1]), (WHOLE, r[2]))))
+    tasks = max(1, min(groups, size * 3 // REDUCED))  # a parent, its child and the sibling
+    dealt = parts.partitionBy(tasks, lambda key: key[0] * 8191 + key[1])
+    out = dealt.mapPartitions(decide).persist(StorageLevel.MEMORY_AND_DISK)
+    return out.map(_without_hist).collect(), out
 
 
 def _drawn_features(config: BoostConfig, tree: int, k: int) -> np.ndarray:
@@ -413,11 +431,9 @@ def _histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int) -> np
     return out.ravel()
 
 
-def _partials(held: dict[tuple[int, int, int], np.ndarray]) -> pa.RecordBatch:
-    keys = list(zip(*held, strict=True)) or [[], [], []]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array([a.tobytes() for a in held.values()], pa.binary())],
-        ["member", "parent", "kind", "hist"])
+def _partials(held: dict[tuple[int, int, int], np.ndarray]) -> Iterator[tuple]:
+    for (m, parent, kind), a in held.items():
+        yield (m, parent), (kind, a.tobytes())
 
 
 def _best(m: int, node: int, hist: np.ndarray, config: BoostConfig, used: np.ndarray) -> tuple:
@@ -436,11 +452,11 @@ def _best(m: int, node: int, hist: np.ndarray, config: BoostConfig, used: np.nda
     f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
     g, h, n = total[f, 0]
     if not ok[f, b]:
-        return m, node, hist.tobytes(), -1.0, g, h, 0.0, 0.0, round(n), 0, -1, -1
-    return m, node, hist.tobytes(), gain[f, b], g, h, left[f, b, 0], left[f, b, 1], round(n), round(left[f, b, 2]), int(f), int(b)
+        return m, node, hist.tobytes(), -1.0, float(g), float(h), 0.0, 0.0, round(n), 0, -1, -1
+    return m, node, hist.tobytes(), *map(float, (gain[f, b], g, h, left[f, b, 0], left[f, b, 1])), round(n), round(left[f, b, 2]), int(f), int(b)
 
 
-def _choose(growths: list[Growth], r: T.Row, depth: int) -> None:
+def _choose(growths: list[Growth], r: dict, depth: int) -> None:
     """Take in one row of a level: losses of the trees so far, or the best split of a node."""
     g = next(x for x in growths if x.member.name == r["member"])
     config = g.member.config

@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from barloom.functions.sketches import Distinct, sketch_boundaries
+from barloom.operators import fold_forests
 from barloom.operators.boosting import BoostConfig, bin_boundaries, boost_fit, grad_histogram
 from barloom.operators.fold_forests import Member, grow_forests, logistic, score_forests, tune_by_sharpe, walk_forward_trees
 
@@ -57,6 +58,19 @@ def test_partitions_do_not_matter(spark):
     assert empty.members == [] and score_forests(spark.createDataFrame(d), empty, folds(spark)).count() == 0
 
 
+def test_shuffled_and_collected_histograms_agree(spark, monkeypatch):
+    d = panel(2500, 4)
+    members = [Member(i, f, BoostConfig(num_trees=t, max_depth=3, learning_rate=0.3, max_bins=16, min_samples_leaf=5)) for i, (f, t) in enumerate([(0, 4), (1, 2)])]
+    rows, first = spark.createDataFrame(d).repartition(3), []
+    monkeypatch.setattr(fold_forests, "TASK_ROWS", 1000)
+    for most in (fold_forests.COLLECTED, 3000, 0):  # all on the driver, some levels, none
+        monkeypatch.setattr(fold_forests, "COLLECTED", most)
+        found = grow_forests(rows, folds(spark), ["a", "b"], "y", members, rewrite_every=2)
+        first = first or nodes(found.forest(spark))
+        assert nodes(found.forest(spark)) == first and [len(m.trees) for m in found.members] == [4, 2]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()  # nothing is left in memory
+
+
 def test_logistic_members_and_grid(spark):
     d = panel(3000, 3)
     d["y"] = (d.y > 0).astype(float)
