@@ -42,6 +42,37 @@ def test_operator(spark, bars, op):
     both(spark, lambda: op(bars))
 
 
+def test_trailing_moments_without_sliding_frames(spark):
+    rng = np.random.default_rng(5)
+    d = pd.DataFrame({"symbol": np.repeat(["a", "b", "c"], [120, 4, 33]), "date": np.r_[0:120, 0:4, 0:33]})
+    d["x"] = 1e6 + rng.normal(size=len(d)).cumsum()
+    d["r"] = rng.normal(size=len(d))
+    d.loc[40:60, "x"] = 7.25  # constant frames
+    d.loc[(d.index % 11 == 3) | (d.index > 140), ["x", "r"]] = None
+    table = spark.createDataFrame(d.astype(object).where(d.notna(), None), "symbol string, date long, x double, r double")
+
+    def build():
+        z = rolling.rolling_zscore(table, ["x", "r"], 6)
+        return rolling.idiosyncratic_vol(z, "r", 7, 3, "iv")
+
+    plan = build()._jdf.queryExecution().toString()
+    assert "RowFrame, -5, currentrow" not in plan and "RowFrame, -6, currentrow" not in plan
+    both(spark, build)
+    got = build().toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+    d["m"] = d.groupby("date").r.transform("mean")
+    for _, rows in d.groupby("symbol"):
+        for k, i in enumerate(rows.index):
+            for c in ("x", "r"):
+                part = rows[c].iloc[max(0, k - 5):k + 1].dropna()
+                want = 0.0 if k == 0 else np.nan if pd.isna(rows[c][i]) else (rows[c][i] - part.mean()) / (part.std(ddof=0) + 1e-12)
+                assert np.isclose(got[f"z_{c}"][i], want, rtol=1e-6, atol=1e-6, equal_nan=True)
+            part = rows.iloc[max(0, k - 6):k + 1].dropna(subset=["r"])
+            want = np.nan
+            if k >= 7 and len(part) > 3:
+                want = np.std(part.r - np.polyval(np.polyfit(part.m, part.r, 1), part.m)) if part.m.std() > 0 else 0.0
+            assert np.isclose(got.iv[i], want, rtol=1e-6, atol=1e-6, equal_nan=True)
+
+
 def test_events_and_weights(spark, bars):
     vol = rolling.ewm_vol(bars, span=20, out="vol")
     both(spark, lambda: labels.triple_barrier_events(vol), ("symbol", "t0"))
