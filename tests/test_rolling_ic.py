@@ -32,6 +32,13 @@ def brute(d, window, late):
     return out
 
 
+def test_values_leave_python_as_numbers():
+    x = pd.Series([np.arange(9.0), np.arange(3.0)])
+    found = metrics._block_spearman(4, 1).func(x, -x)
+    assert all(v.dtype == np.float64 for v in found)
+    assert np.allclose(found[0], [np.nan] * 4 + [-1.0] * 5, equal_nan=True) and np.isnan(found[1]).all() and len(found[1]) == 3
+
+
 @pytest.mark.parametrize("late", [False, True])
 @pytest.mark.parametrize("rows", [None, 30])
 def test_against_new_ranks(spark, monkeypatch, late, rows):
