@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.sketches import CAPACITY, PARTS, Distinct, merged, packed, unpacked
+from barloom.functions.grouping import ranged
+from barloom.functions.sketches import CAPACITY, EVERY, PARTS, Distinct, merged, packed, unpacked
 from barloom.operators.boosting import FOREST_SCHEMA, HELD, BoostConfig
 from barloom.operators.portfolio import long_short_daily, long_short_summary
 from barloom.operators.scoring import GBT_GRID
@@ -33,6 +34,7 @@ from barloom.session import checkpoints, shared_folder
 REDUCED = 2**24
 COLLECTED = 2**26
 TASK_ROWS = 2**17
+MASKED = 62
 ArrayLoss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -135,13 +137,13 @@ def _in_spans(at: np.ndarray, spans: Spans, fold: int, role: str) -> np.ndarray:
 def grow_forests(
     df: DataFrame, folds: DataFrame, features: Sequence[str], y: str, members: Sequence[Member], loss: ArrayLoss = squared, *,
     idx: str = "date_idx", train_role: str = "train", val_role: str = "val", min_train: int = 200, min_val: int = 50,
-    capacity: int = CAPACITY // 4, rewrite_every: int = 20,
+    capacity: int = CAPACITY // 4, exact: bool = False, rewrite_every: int = 20,
 ) -> FoldForests:
     """Grow the forests of all ``members`` on the fold spans (fold, role, lo, hi) of the integer column ``idx``.
 
     Rows with a null target are left out; null and NaN features go left. The start is the mean target. A member stops when its loss on
     the validation rows has not sunk for ``early_stopping`` trees, and keeps its best ones. Folds with fewer rows than ``min_train`` or
-    ``min_val`` get no forest.
+    ``min_val`` get no forest. With ``exact`` features of more than ``capacity`` distinct values are cut at exact ranks of all of them.
     """
     if any(m.config.line_search or m.config.max_bins > 256 for m in members):
         raise ValueError("no line search and at most 256 bins")
@@ -150,7 +152,7 @@ def grow_forests(
     wanted = sorted({m.fold for m in members})
     rows = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, f in enumerate(features)],
                      F.col(y).cast("double").alias("y"), F.col(idx).cast("bigint").alias("at")).filter(F.col("y").isNotNull() & ~F.isnan("y"))
-    edges, starts = _fold_bins(rows, spans, wanted, k, max(m.config.max_bins for m in members), capacity, train_role, val_role)
+    edges, starts = _fold_bins(rows, spans, wanted, k, max(m.config.max_bins for m in members), capacity, train_role, val_role, exact)
     growths = [Growth(m, starts[m.fold][0]) for m in members
                if m.fold in starts and starts[m.fold][1] >= min_train and starts[m.fold][2] >= min_val]
     order = {f: [g.member.name for g in growths if g.member.fold == f] for f in wanted}
@@ -203,8 +205,9 @@ def _write(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _fold_bins(rows: DataFrame, spans: Spans, folds: list[int], k: int, num_bins: int, capacity: int, train: str, val: str):
-    """Boundaries per (fold, feature) from sketches, and (mean target, training rows, validation rows) per fold: one pass."""
+def _fold_bins(rows: DataFrame, spans: Spans, folds: list[int], k: int, num_bins: int, capacity: int, train: str, val: str, exact: bool):
+    """Boundaries per (fold, feature) from sketches, and (mean target, training rows, validation rows) per fold: one pass. With ``exact``,
+    those whose sketch does not hold all distinct values come from a sort of them."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Distinct] = {}
@@ -227,16 +230,24 @@ def _fold_bins(rows: DataFrame, spans: Spans, folds: list[int], k: int, num_bins
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, bounds = [], []
+            names, bounds, whole = [], [], []
             for name, values, limit in unpacked(batch):
                 names.append(name)
                 bounds.append((Distinct(capacity, limit, values).boundaries(num_bins) if len(values) else np.empty(0)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bounds, pa.binary())], ["name", "bounds"])
+                whole.append(limit == EVERY)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bounds, pa.binary()), pa.array(whole, pa.bool_())], ["name", "bounds", "whole"])
 
     is_sum = F.col("name").startswith("sum ")
-    for r in merged(parts.filter(~is_sum), capacity).mapInArrow(cut, "name string, bounds binary").collect():  # at most 255 numbers a row
+    wide: dict[int, list[int]] = {}  # feature -> folds whose sketch is a sample
+    for r in merged(parts.filter(~is_sum), capacity).mapInArrow(cut, "name string, bounds binary, whole boolean").collect():  # at most 255 numbers a row
         fold, i = map(int, r["name"].split())
         edges[fold, i] = np.frombuffer(r["bounds"])
+        if exact and not r["whole"]:
+            wide.setdefault(i, []).append(fold)
+    together = sorted({f for fs in wide.values() for f in fs})
+    for at in range(0, len(together), MASKED):
+        some = together[at:at + MASKED]
+        edges |= _exact_edges(rows, spans, {i: [f for f in fs if f in some] for i, fs in wide.items()}, some, k, num_bins, train)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -253,6 +264,51 @@ def _fold_bins(rows: DataFrame, spans: Spans, folds: list[int], k: int, num_bins
     return edges, starts
 
 
+def _exact_edges(rows: DataFrame, spans: Spans, wanted: dict[int, list[int]], folds: list[int], k: int, num_bins: int, train: str) -> dict[tuple[int, int], np.ndarray]:
+    """Boundaries of the wanted (feature -> folds) at exact ranks of the distinct training values.
+
+    A value has one row with a bit per fold that holds it, however many folds overlap. The values are cut into intervals of their order;
+    counts per (interval, fold) say in which interval a rank lies, and only those intervals are sorted, one in a task.
+    """
+    bit = {f: i for i, f in enumerate(folds)}
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, at = _numbers(batch, k), batch.column("at").to_numpy(zero_copy_only=False)
+            seen = {f: _in_spans(at, spans, f, train).astype(np.int64) << bit[f] for f in folds}
+            for i, fs in wanted.items():
+                mask = np.zeros(len(at), np.int64)
+                for f in fs:
+                    mask |= seen[f]
+                kept = (mask != 0) & ~np.isnan(x[:, i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(kept.sum()), i, np.int32)), pa.array(x[kept, i] + 0.0), pa.array(mask[kept])], ["feature", "x", "mask"])
+
+    values = rows.mapInArrow(masks, "feature int, x double, mask long").groupBy("feature", "x").agg(F.bit_or("mask").alias("mask"))
+    cells = ranged(values, ["feature"], ["x"])
+    held = {(f, i): F.count_if((F.col("feature") == i) & (F.col("mask").bitwiseAND(1 << bit[f]) != 0)) for i, fs in wanted.items() for f in fs}
+    counts = cells.groupBy("__cell").agg(*[c.alias(f"{f} {i}") for (f, i), c in held.items()]).orderBy("__cell").collect()
+    sizes, picks = {}, {}  # distinct values of a key, and the wanted ranks inside each interval
+    for f, i in held:
+        below = np.concatenate([[0], np.cumsum([r[f"{f} {i}"] for r in counts])])
+        sizes[f, i] = u = int(below[-1])
+        ranks = np.unique(np.floor(np.arange(1, num_bins) / num_bins * (u - 1)).astype(np.int64)) if u >= num_bins else np.arange(u)
+        home = np.searchsorted(below, ranks, side="right") - 1
+        for c in np.unique(home):
+            picks.setdefault(counts[c]["__cell"], []).append((f, i, (ranks[home == c] - below[c]).tolist()))
+
+    def pick(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("x")
+        feature, x, mask = (cell.column(c).to_numpy() for c in ("feature", "x", "mask"))
+        found = [(f, i, x[(feature == i) & (mask >> bit[f] & 1 == 1)][at].tobytes()) for f, i, at in picks[cell.column("__cell")[0].as_py()]]
+        return pa.Table.from_arrays([pa.array([r[j] for r in found], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["fold", "feature", "xs"])
+
+    got: dict[tuple[int, int], list[np.ndarray]] = {}
+    for r in cells.filter(F.col("__cell").isin(list(picks))).groupBy("__cell").applyInArrow(pick, "fold int, feature int, xs binary").collect():  # at most 255 numbers a key
+        got.setdefault((r["fold"], r["feature"]), []).append(np.frombuffer(r["xs"]))
+    found = {key: np.sort(np.concatenate(xs)) for key, xs in got.items()}
+    return {key: xs if sizes[key] >= num_bins else Distinct(values=xs).boundaries(num_bins) for key, xs in found.items()}
+
+
 def _blocks(spans: Spans, order: dict[int, list[int]], edges: dict, starts: dict, k: int, train: str, val: str):
     """Rows to blocks: one per fold and batch."""
 

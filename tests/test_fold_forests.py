@@ -116,3 +116,25 @@ def test_sketch_boundaries(spark):
     three.add(d.many.to_numpy()[7000:])
     two.add(three.values, three.limit)
     assert (one.values == two.values).all() and one.limit == two.limit and abs(one.count / 20_000 - 1) < 0.2
+
+
+def test_exact_boundaries_of_many_values(spark, monkeypatch):
+    """Far more distinct values than a sketch holds, in several intervals and with folds in more than one mask."""
+    d = panel(5000, 7)
+    d["c"] = d.b.round(1)
+    d.loc[::3, "b"] = -0.0
+    rows, edges = spark.createDataFrame(d).repartition(4), {}
+    members = [Member(f, f, BoostConfig(num_trees=1, max_depth=1, max_bins=16)) for f in (0, 1)]
+    spark.conf.set("barloom.rows.per.task", "700")
+    try:
+        for masked in (62, 1):
+            monkeypatch.setattr(fold_forests, "MASKED", masked)
+            edges = grow_forests(rows, folds(spark), ["a", "b", "c"], "y", members, capacity=10, exact=True).edges
+            for fold, lo, hi in ((0, 0, 60), (1, 20, 80)):
+                seen = d[(d.date_idx >= lo) & (d.date_idx < hi) & d.y.notna()]
+                for i, name in enumerate("abc"):
+                    x = np.unique(seen[name].dropna() + 0.0)
+                    assert len(x) > 16
+                    assert edges[fold, i].tolist() == x[np.floor(np.arange(1, 16) / 16 * (len(x) - 1)).astype(int)].tolist()
+    finally:
+        spark.conf.unset("barloom.rows.per.task")
