@@ -194,14 +194,19 @@ def ewm_vol(df: DataFrame, price: str = "close", span: int = 100, floor: float =
     )
 
 
-def ema(df: DataFrame, col: str = "close", span: int = 252, out: str = "ema", *, by=KEY, time=TIME) -> DataFrame:
+def ema(df: DataFrame, col: str = "close", span: int = 252, out: str = "ema", *, by=KEY, time=TIME, longest: int | None = None) -> DataFrame:
     """ema += alpha * (x - ema), started at the first value."""
     alpha = 2 / (span + 1)
     rate = -math.log(1 - alpha)
     rows, back = _geometric(rate)
     scaled = F.when(F.col("_p") == 0, F.col(col)).otherwise(lit(alpha) * F.col(col))
     return along_time(df, _PLACE, _ORIGIN, {out: lambda t: _decayed(scaled, t, rate)},
-                      by=by, time=time, back=back, rows=rows, drop=("_p", "_p0"))
+                      by=by, time=time, back=back, rows=rows, drop=("_p", "_p0"), longest=longest)
+
+
+def ema_rows(span: int) -> int:
+    """Rows of a key up to which ``ema`` uses a plain window."""
+    return _geometric(-math.log(1 - 2 / (span + 1)))[0]
 
 
 # ---- the nine base features -------------------------------------------------------

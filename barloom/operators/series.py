@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from barloom.functions.columns import lit
-from barloom.functions.grouping import along_time, attach, group_stats, positions, quantiles
-from barloom.operators.rolling import ema, frac_diff, weighted_past
+from barloom.functions.grouping import along_time, attach, group_stats, longest_group, positions, quantiles
+from barloom.operators.rolling import ema, ema_rows, frac_diff, weighted_past
+from barloom.session import rows_per_task
 
 KEY, TIME = ("symbol",), "date"
 
@@ -216,18 +217,104 @@ def denoise_array(x: np.ndarray, level: int = 3, mode: str = "soft") -> np.ndarr
     return a[:n]
 
 
+def _finest_linear(size: int, level: int) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """Of windows of ``size`` rows: the coefficients that their last smoothed value uses, as rows of weights, the last value as weights
+    of them (finest details first, the approximation last), and the places of each. The finest details at the right edge come first."""
+    rows, a = [], np.eye(size)
+    both = lambda m: [np.array(v) for v in zip(*[_analyse(c) for c in m.T], strict=True)]
+    details = []
+    for _ in range(level):
+        a, d = (v.T for v in both(a))
+        details.append(d)
+
+    def last(parts: list[np.ndarray]) -> float:
+        v = parts[-1]
+        for d in reversed(parts[:-1]):
+            v = _synthesise(v, d)
+        return v[size - 1]
+
+    blocks, used, at = [*details, a], [], []
+    for j, block in enumerate(blocks):
+        weights = np.array([last([np.eye(len(p))[i] if m == j else np.zeros(len(p)) for m, p in enumerate(blocks)]) for i in range(len(block))])
+        kept = np.flatnonzero(weights)
+        rows.append(block[kept])
+        used.append(weights[kept])
+        at.append(len(kept))
+    edge = details[0][size // 2:]
+    ends = np.cumsum([len(edge), *at])
+    return np.concatenate([edge, *rows]), np.concatenate(used), [slice(0, len(edge)), *[slice(x, y) for x, y in zip(ends[:-1], ends[1:], strict=True)]]
+
+
+@lru_cache(maxsize=64)
+def _window_maps(level: int) -> list[tuple[int, np.ndarray, np.ndarray, list[slice]]]:
+    """Per residue of the prefix length by 2^level, (window size, maps of ``_finest_linear``). A window starts at a multiple of 2^level and
+    is long enough that what the mirrored left end changes does not reach the last value."""
+    step = 2 ** level
+    return [(16 * step + r, *_finest_linear(16 * step + r, level)) for r in range(step)]
+
+
+def last_denoised(x: np.ndarray, lo: int, level: int = 3) -> np.ndarray:
+    """Last value of ``denoise_array`` of every prefix that ends at ``lo`` or later.
+
+    Only some coefficients at the end of a prefix make its last value: they are sums over a window of fixed length. The threshold is the
+    median over the whole prefix; it comes from a sorted array of the finest details that all prefixes share, of which a few neighbours
+    of the middle and the details at the own edge are looked at.
+    """
+    x = np.asarray(x, float)
+    out = np.full(len(x) - lo, np.nan)
+    bad = np.flatnonzero(~np.isfinite(x))
+    step, plain = 2 ** level, len(x) if len(bad) and not np.isnan(x[bad[0]]) else lo
+    plain = max(plain, min(len(x), 17 * step))  # short prefixes, and all where a value is infinite
+    for i in range(lo, plain):
+        out[i - lo] = denoise_array(x[:i + 1], level)[-1]
+    end = bad[0] if len(bad) and np.isnan(x[bad[0]]) else len(x)  # no prefix with a NaN has a value
+    block = 64 if len(x) < 2**15 else 512
+    shared = np.abs(_analyse(x[:end])[1][:end // 2]) if end > plain else np.empty(0)
+    maps, placed = _window_maps(level) if end > plain else [], np.sort(shared[:(plain + 1) // 2])
+    for at in range(max(lo, plain), end, block):
+        n = np.arange(at, min(at + block, end)) + 1
+        edges, parts = np.full((len(n), TAPS), np.inf), {}
+        for r, (size, weights, _, where) in enumerate(maps):
+            mine = np.flatnonzero(n % step == r)
+            if len(mine):
+                found = x[(n[mine] - size)[:, None] + np.arange(size)] @ weights.T
+                edges[mine, :where[0].stop] = np.abs(found[:, where[0]])
+                parts[r] = mine, found
+        base, new = len(placed), shared[n[0] // 2:n[-1] // 2]
+        extra = n // 2 - base + (n + TAPS - 1) // 2 - n // 2
+        count = base + extra
+        r1, r2 = (count - 1) // 2, count // 2
+        low, high = max(0, int((r1 - extra).min())), min(base, int(r2.max()) + 1)
+        seen = np.where(np.arange(len(new)) < (n // 2 - base)[:, None], new, np.inf)
+        near = np.sort(np.concatenate([np.broadcast_to(placed[low:high], (len(n), max(0, high - low))), seen, edges], axis=1), axis=1)
+        every = np.arange(len(n))
+        threshold = (near[every, r1 - low] + near[every, r2 - low]) / 2 / 0.6745 * np.sqrt(2 * np.log(n))
+        for r, (_, _, last, where) in enumerate(maps):
+            if r in parts:
+                mine, found = parts[r]
+                cut = where[-1].start
+                details = found[:, where[0].stop:cut]
+                details = np.sign(details) * np.maximum(np.abs(details) - threshold[mine, None], 0)
+                out[n[mine] - 1 - lo] = np.concatenate([details, found[:, cut:]], axis=1) @ last
+        placed = np.insert(placed, np.searchsorted(placed, np.sort(new)), np.sort(new))
+    return out
+
+
 def causal_wavelet_denoise(
     df: DataFrame, col: str, level: int = 3, min_window: int = 252, rows: int = 128, out: str = "denoised",
     *, by: Sequence[str] = KEY, time=TIME,
 ) -> DataFrame:
     """Last value of the shrinkage of every prefix; the exponential mean before ``min_window``.
 
-    The threshold of a row is a median over its whole prefix, so the work is quadratic in the
-    length of a series.  Targets are cut into groups of ``rows``; each group is sent the prefix
-    it needs, so that no task denoises more than ``rows`` targets.
+    Series stream by in time order, a row costing the same wherever it stands. Longer ones than a task may hold are cut into groups of
+    ``rows`` targets or an eighth of what a task holds, if that is more; each group is sent the prefix it needs.
     """
-    placed = ema(positions(df, by, time, "_i"), col, min_window, "_ema", by=by, time=time)
+    longest = longest_group(df, by)
+    placed = ema(positions(df, by, time, "_i", longest=longest), col, min_window, "_ema", by=by, time=time, longest=longest)
+    if longest <= min(rows_per_task(df.sparkSession), ema_rows(min_window)):  # else positions or means are not from one window per key
+        return _streamed_denoise(placed, col, level, min_window, out, by, time)
     early = placed.filter(F.col("_i") < min_window).withColumn(out, F.col("_ema"))
+    rows = max(rows, rows_per_task(df.sparkSession) // 8)
     sized = group_stats(placed, by, _n=F.count(F.lit(1)))
     own = F.floor(F.col("_i") / rows)
     last = F.floor((F.col("_n") - 1) / rows)
@@ -239,8 +326,7 @@ def causal_wavelet_denoise(
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         x, lo = pdf["_x"].to_numpy(float), max(int(key[-1]) * rows, min_window)
-        spots = np.arange(lo, len(x))
-        frame = pd.DataFrame({"_i": spots, out: [denoise_array(x[:i + 1], level)[-1] for i in spots]})
+        frame = pd.DataFrame({"_i": np.arange(lo, len(x)), out: last_denoised(x, lo, level)})
         for name, value in zip(by, key):
             frame[name] = value
         return frame[[*by, "_i", out]]
@@ -250,12 +336,37 @@ def causal_wavelet_denoise(
     return early.unionByName(done.select(*early.columns)).drop("_i", "_ema")
 
 
+def _streamed_denoise(placed: DataFrame, col: str, level: int, min_window: int, out: str, by: Sequence[str], time: str) -> DataFrame:
+    """Keys one after the other, each in time order, as the window of their positions leaves them; position 0 begins a key."""
+    kept = [f for f in placed.schema.fields if f.name not in ("_i", "_ema", out)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0)  # the prefix of the key that the last batch ended in
+        for batch in batches:
+            number = lambda c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            i, x, value = batch.column("_i").to_numpy(), number("_x"), number("_ema").copy()
+            if not len(i):
+                continue
+            late = i >= min_window
+            cuts = np.unique([0, *np.flatnonzero(i == 0), len(i)])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                held = x[a:b] if i[a] == 0 else np.concatenate([held, x[a:b]])
+                if i[b - 1] >= min_window:
+                    lo = max(int(i[a]), min_window)
+                    value[b - (int(i[b - 1]) + 1 - lo):b] = last_denoised(held, lo, level)
+            none = np.where(late, np.isnan(value), batch.column("_ema").is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(value, mask=none)], [*[f.name for f in kept], out])
+
+    rows = placed.withColumn("_x", F.col(col).cast("double")).sortWithinPartitions(*by, time)
+    return rows.mapInArrow(work, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+
+
 def denoised_returns(df: DataFrame, col: str, min_window: int = 252, out: str = "denoised_return", *, by: Sequence[str] = KEY, time=TIME) -> DataFrame:
     """Next change of the causally denoised series, relative to it; NULL where it is not positive."""
     smooth = causal_wavelet_denoise(df, col, min_window=min_window, out="_s", by=by, time=time)
     step: Column = F.col("_s")
     return along_time(smooth, {out: lambda t: F.when(step > 0, (F.lead("_s").over(t.w) - step) / step)},
-                      by=by, time=time, ahead=1, drop=("_s",))
+                      by=by, time=time, ahead=1, drop=("_s",), longest=longest_group(df, by))
 
 
 # ---- GARCH ------------------------------------------------------------------------------------

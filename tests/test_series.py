@@ -125,3 +125,39 @@ def test_garch_fits_together_as_alone(spark):
             assert got[name]["omega"] is None and got[name]["degenerate"]
         else:
             assert np.allclose([got[name]["omega"], got[name]["alpha"], got[name]["beta"]], w, rtol=1e-12)
+
+
+def test_last_values_of_all_prefixes():
+    """From windows of fixed length and a shared median, without a pass over each prefix."""
+    rng = np.random.default_rng(3)
+    for n, lo, level in ((533, 252, 3), (300, 130, 3), (90, 40, 3), (260, 70, 2), (300, 140, 4)):
+        for x in (np.cumsum(rng.normal(size=n)), np.round(rng.normal(size=n)), np.zeros(n)):
+            assert np.allclose(S.last_denoised(x, lo, level), [S.denoise_array(x[:i + 1], level)[-1] for i in range(lo, n)], atol=1e-9)
+    x = rng.normal(size=300)
+    x[200] = np.nan
+    got = S.last_denoised(x, 150)
+    assert np.isfinite(got[:50]).all() and np.isnan(got[50:]).all()
+
+
+def test_causal_wavelet_streams_keys(spark, monkeypatch):
+    """Keys over several batches, a null key, a null value and short keys; whole prefixes are not sent or denoised again."""
+    rng = np.random.default_rng(13)
+    data = {k: np.cumsum(rng.normal(size=n)) for k, n in (("a", 400), ("b", 30), ("c", 533), ("d", 200))}
+    rows = frame(spark, data).selectExpr("nullif(symbol, 'd') AS symbol", "date", "if(symbol = 'c' AND date = 500, NULL, x) AS x").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        for most in ("1000000", "300"):  # the second sends prefixes in groups
+            spark.conf.set("barloom.rows.per.task", most)
+            plan = S.causal_wavelet_denoise(rows, "x", min_window=150)
+            got = plan.toPandas().sort_values("date")
+            assert ("FlatMapGroups" in plan._jdf.queryExecution().executedPlan().toString()) == (most == "300")
+            for k, v in data.items():
+                one = got[got.symbol == k if k != "d" else got.symbol.isna()]["denoised"].to_numpy(float)
+                v = v.copy()
+                v[500:501] = np.nan if k == "c" else v[500:501]
+                want = [S.denoise_array(v[:i + 1])[-1] for i in range(150, len(v))]
+                assert np.allclose(one[150:], want, atol=1e-9, equal_nan=True), (k, most)
+                assert np.allclose(one[:3], pd.Series(v).ewm(span=150, adjust=False).mean()[:3])
+    finally:
+        spark.conf.unset("barloom.rows.per.task")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
