@@ -14,8 +14,10 @@ levels above are counted again.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ REDUCED = 2**24
 COLLECTED = 2**26
 TASK_ROWS = 2**17
 MASKED = 62
+CELLS = 2**17
 ArrayLoss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -152,12 +155,17 @@ def grow_forests(
     wanted = sorted({m.fold for m in members})
     rows = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, f in enumerate(features)],
                      F.col(y).cast("double").alias("y"), F.col(idx).cast("bigint").alias("at")).filter(F.col("y").isNotNull() & ~F.isnan("y"))
+    used = [lo_hi for f, r, *lo_hi in spans if f in wanted and r in (train_role, val_role)]
+    rows = rows.filter(reduce(lambda a, b: a | b, [(F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in used], F.lit(False)))
+    rows = _write(df.sparkSession, rows)  # read twice or more: what made it runs once
     edges, starts = _fold_bins(rows, spans, wanted, k, max(m.config.max_bins for m in members), capacity, train_role, val_role, exact)
     growths = [Growth(m, starts[m.fold][0]) for m in members
                if m.fold in starts and starts[m.fold][1] >= min_train and starts[m.fold][2] >= min_val]
     order = {f: [g.member.name for g in growths if g.member.fold == f] for f in wanted}
     spark = df.sparkSession
     checkpoints(spark)
+    if loss is squared and all(m.config.subsample_row >= 1 for m in members) and growths and _cells(edges, order, k) <= CELLS:
+        return FoldForests(features, _grown_alone(rows, growths, spans, order, edges, starts, k, train_role, val_role), edges)
     state = _write(spark, rows.mapInArrow(_blocks(spans, order, edges, starts, k, train_role, val_role), BLOCK)).rdd.map(tuple)
     work = sum(len(names) * sum(starts[f][1:]) for f, names in order.items() if names)
     state = state.coalesce(max(1, -(-work // TASK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
@@ -196,6 +204,126 @@ def grow_forests(
     return FoldForests(features, growths, edges)
 
 
+# ---- few cells --------------------------------------------------------------------------------
+
+def _bounds(edges: dict, fold: int, k: int) -> list[np.ndarray]:
+    return [edges.get((fold, i), np.empty(0)) for i in range(k)]
+
+
+def _cells(edges: dict, order: dict[int, list[int]], k: int) -> int:
+    """The most cells, that is combinations of bins, of a fold."""
+    return max([int(np.prod([len(b) + 1.0 for b in _bounds(edges, f, k)])) for f, names in order.items() if names], default=0)
+
+
+def _codes(x: np.ndarray, bounds: list[np.ndarray]) -> np.ndarray:
+    """The cell of each row: its bins as digits."""
+    code = np.zeros(len(x), np.int64)
+    for i, b in enumerate(bounds):
+        code = code * (len(b) + 1) + np.where(np.isnan(x[:, i]), 0, np.searchsorted(b, x[:, i], side="left"))
+    return code
+
+
+def _cell_bins(cells: np.ndarray, bounds: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(cells), len(bounds)), np.int64)
+    for i in reversed(range(len(bounds))):
+        cells, out[:, i] = np.divmod(cells, len(bounds[i]) + 1)
+    return out
+
+
+def _grown_alone(rows: DataFrame, growths: list[Growth], spans: Spans, order: dict, edges: dict, starts: dict, k: int, train: str, val: str) -> list[Growth]:
+    """Forests of the squared error from cells: trees see bins only, so rows of one cell always share their prediction, and their number,
+    mean target and squared deviations give the sums of gradients and the losses of all of them. One pass adds them up; a fold's cells
+    are few, so each member grows in one task of its own."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x, y, at = _numbers(batch, k), batch.column("y").to_numpy(), batch.column("at").to_numpy(zero_copy_only=False)
+            for fold, names in order.items():
+                is_val = _in_spans(at, spans, fold, val) if names else np.zeros(len(at), bool)
+                for role, seen in enumerate((_in_spans(at, spans, fold, train) & ~is_val, is_val) if names else ()):
+                    if not seen.any():
+                        continue
+                    bounds = _bounds(edges, fold, k)
+                    code, e = _codes(x[seen], bounds), y[seen] - starts[fold][0]
+                    size = int(np.prod([len(b) + 1 for b in bounds]))
+                    sums = np.stack([np.bincount(code, None, size), np.bincount(code, e, size), np.bincount(code, e * e, size)])
+                    held[fold, role] = held.get((fold, role), 0) + sums
+        for (fold, role), sums in held.items():
+            cell = np.flatnonzero(sums[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), v), kind) for v, kind in ((fold, pa.int32()), (role, pa.int32()))] + [pa.array(cell)]
+                                             + [pa.array(s[cell]) for s in sums], ["fold", "role", "cell", "n", "s", "q"])
+
+    sums = rows.mapInArrow(fill, "fold int, role int, cell long, n double, s double, q double").groupBy("fold", "role", "cell").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    by_fold = sums.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("role", "cell", "n", "s", "q"))).alias("cells"))
+    width = max(g.member.config.max_bins for g in growths)
+    names = rows.sparkSession.createDataFrame([(g.member.fold, i) for i, g in enumerate(growths)], "fold int, number int")
+    dealt = by_fold.join(F.broadcast(names), "fold").repartition(len(growths), "number")
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold, number, cells in zip(*[batch.column(c) for c in ("fold", "number", "cells")], strict=True):
+                role, cell, n, s, q = (cells.values.field(c).to_numpy() for c in ("role", "cell", "n", "s", "q"))
+                bins = _cell_bins(cell, _bounds(edges, fold.as_py(), k))
+                g = _grow_cells(growths[number.as_py()], role == 0, bins, n, s, q, width)
+                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int32()), pa.array([pickle.dumps(g)], pa.binary())], ["number", "body"])
+
+    found = dealt.select("fold", "number", "cells").mapInArrow(grow, "number int, body binary").collect()  # models only
+    done = {r["number"]: pickle.loads(r["body"]) for r in found}
+    return [done[i] for i in range(len(growths))]
+
+
+def _grow_cells(g: Growth, train: np.ndarray, bins: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray, width: int) -> Growth:
+    """Grow one member on its fold's cells: rows, sum and squared sum of the targets less the starting value."""
+    config, k = g.member.config, bins.shape[1]
+    mean, p = s / n, np.zeros(len(n))  # both less the starting value
+    spread = np.maximum(q - s * mean, 0)
+    total = lambda cost, here: (cost[here].sum(), n[here].sum())
+    own, weight = bins[train], n[train]
+    while not g.done:
+        cost = spread + n * (p - mean) ** 2
+        (a, a_n), (b, b_n) = total(cost, train), total(cost, ~train)
+        _judge(g, float(a / a_n), float(b / b_n) if b_n else None)
+        if g.done:
+            g.trees = g.trees[:g.best_trees]
+            break
+        gradient, used = (2 * n * (p - mean))[train], _drawn_features(config, len(g.trees), k)
+        g.splits, g.totals, g.open = {}, {}, [0]
+        node, hists = np.zeros(len(own), np.int64), {}
+        for depth in range(config.max_depth):
+            if not g.open:
+                break
+            fresh = {}
+            for parent in sorted({(m - 1) // 2 for m in g.open}) if depth else [-1]:
+                a, b = 2 * parent + 1, 2 * parent + 2
+                small = 0 if not depth else a if g.totals[a][2] <= g.totals[b][2] else b
+                here = np.flatnonzero(node == small)
+                fresh[small] = _weighted_histogram(own[here], gradient[here], weight[here], width)
+                if depth:
+                    fresh[a + b - small] = hists[parent] - fresh[small]
+            hists = fresh
+            for m in list(g.open):
+                _choose([g], dict(zip(LEVEL, _best(g.member.name, m, hists[m].reshape(k, width, 3), config, used), strict=True)), depth)
+            feature, cut, _ = g.arrays({"splits": g.splits, "leaves": {}})
+            f = feature[node]
+            node = np.where(f >= 0, 2 * node + 1 + (own[np.arange(len(own)), np.maximum(f, 0)] > cut[node]), node)
+        _finish(g)
+        p = _predicted(p, bins, config.learning_rate, config.max_depth, [g.arrays(g.trees[-1])])
+    return g
+
+
+def _weighted_histogram(bins: np.ndarray, g: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """``_histogram`` of cells of ``n`` rows, whose hessians are 2."""
+    out = np.empty((bins.shape[1], width, 3))
+    for i in range(bins.shape[1]):
+        b = bins[:, i]
+        out[i, :, 0], out[i, :, 2] = np.bincount(b, g, width), np.bincount(b, n, width)
+        out[i, :, 1] = 2 * out[i, :, 2]
+    return out.ravel()
+
+
+# ---- blocks -----------------------------------------------------------------------------------
+
 BLOCK = "fold int, block bigint, val binary, bins binary, y binary, p binary"
 
 
@@ -570,7 +698,12 @@ def score_forests(
             feature, cut, value = m.arrays(tree)
             split = np.array([forests.edges[m.member.fold, f][b] if f >= 0 else 0.0 for f, b in zip(feature, cut, strict=True)])
             trees.append((feature, split, value))
-        packs.append((m.member.name, m.member.fold, m.init, m.member.config.learning_rate, m.member.config.max_depth, trees))
+        bounds, table = _bounds(forests.edges, m.member.fold, k), None
+        if _cells(forests.edges, {m.member.fold: [m.member.name]}, k) <= CELLS:  # one number per cell instead of all trees
+            bins = _cell_bins(np.arange(int(np.prod([len(b) + 1 for b in bounds]))), bounds)
+            table = _predicted(np.full(len(bins), m.init), bins, m.member.config.learning_rate, m.member.config.max_depth, [m.arrays(t) for t in m.trees])
+            trees = []
+        packs.append((m.member.name, m.member.fold, m.init, m.member.config.learning_rate, m.member.config.max_depth, trees, bounds, table))
     names = df.columns
     added = [T.StructField("member", T.IntegerType())] * by_member + [T.StructField("fold", T.IntegerType()), T.StructField(out, T.DoubleType())]
     new = {f.name for f in added}
@@ -582,11 +715,11 @@ def score_forests(
         for batch in batches:
             x, at = _numbers(batch, k), batch.column("_at").to_numpy(zero_copy_only=False)
             pred, member, fold = np.zeros(len(at)), np.full(len(at), -1), np.full(len(at), -1)
-            for name, f, init, rate, depth, trees in packs:
+            for name, f, init, rate, depth, trees, bounds, table in packs:
                 here = np.flatnonzero(_in_spans(at, spans, f, test_role))
                 if not len(here):
                     continue
-                pred[here], member[here], fold[here] = init, name, f
+                pred[here], member[here], fold[here] = init if table is None else table[_codes(x[here], bounds)], name, f
                 for feature, split, value in trees:
                     pred[here] += rate * value[_value_nodes(x[here], feature, split, depth)]
                 if by_member:

@@ -138,3 +138,21 @@ def test_exact_boundaries_of_many_values(spark, monkeypatch):
                     assert edges[fold, i].tolist() == x[np.floor(np.arange(1, 16) / 16 * (len(x) - 1)).astype(int)].tolist()
     finally:
         spark.conf.unset("barloom.rows.per.task")
+
+
+def test_cells_grow_the_forests_of_rows(spark, monkeypatch):
+    """Rows of one cell are added up before the trees grow: same trees, losses and predictions as from blocks of rows."""
+    d = panel(4000, 8)
+    rows, config = spark.createDataFrame(d).repartition(3), BoostConfig(num_trees=12, max_depth=4, learning_rate=0.3, max_bins=16, early_stopping=3, min_samples_leaf=5)
+    members = [Member(0, 0, config), Member(1, 1, config), Member(2, 1, BoostConfig(num_trees=4, max_depth=2, max_bins=8, subsample_col=0.5, lambda_l1=0.1))]
+    found = []
+    for most in (2**17, 0):
+        monkeypatch.setattr(fold_forests, "CELLS", most)
+        monkeypatch.setattr(fold_forests, "_level", fold_forests._level if not most else None)  # cells need no job per level
+        forests = grow_forests(rows, folds(spark), ["a", "b"], "y", members)
+        scored = score_forests(rows, forests, folds(spark), by_member=True).toPandas().sort_values(["member", "symbol", "date", "a", "b"]).reset_index(drop=True)
+        found.append((nodes(forests.forest(spark)), [loss for m in forests.members for loss in m.losses], scored))
+        monkeypatch.undo()
+    (one, losses, pred), (many, row_losses, row_pred) = found
+    assert one == many and np.allclose(losses, row_losses) and len(losses) > 10
+    pd.testing.assert_frame_equal(pred, row_pred, rtol=1e-9)
