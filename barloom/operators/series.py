@@ -8,14 +8,14 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from barloom.functions.columns import lit
 from barloom.functions.grouping import along_time, attach, group_stats, longest_group, positions, quantiles
-from barloom.operators.rolling import ema, ema_rows, frac_diff, weighted_past
+from barloom.operators.rolling import ema, ema_rows, ffd_weights, frac_diff, weighted_past
 from barloom.session import rows_per_task
 
 KEY, TIME = ("symbol",), "date"
@@ -99,15 +99,99 @@ def find_min_d(
     df: DataFrame, col: str, max_d: float = 1.0, step: float = 0.05, p_threshold: float = 0.05, threshold: float = 1e-5,
     *, by: Sequence[str] = KEY, time=TIME,
 ) -> DataFrame:
-    """Smallest order on the grid whose fractional difference passes the unit-root test, else ``max_d``."""
+    """Smallest order on the grid whose fractional difference passes the unit-root test, else ``max_d``.
+
+    Series that a task may hold stream by, each differenced and tested as an array; longer ones take ``frac_diff`` and ``adf_test``.
+    """
     grid = np.linspace(0.0, max_d, int(round(max_d / step)) + 1)
-    base = df.select(*by, time, col)
-    parts = [frac_diff(base, col, float(d), threshold, "_x", by=by, time=time).select(
-        *by, time, F.lit(float(d)).alias("_order"), "_x") for d in grid]
-    long = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("_x").isNotNull())
-    tests = adf_test(long, "_x", by=[*by, "_order"], time=time)
+    base = df.select(*by, time, F.col(col).cast("double").alias("_x"))
+    longest = longest_group(base, by)
+    most = rows_per_task(df.sparkSession)
+    if longest <= most:
+        return _streamed_min_d(positions(base, by, time, "_i", longest=longest), grid, max_d, p_threshold, threshold, by, time)
+    sized = group_stats(base, by, _n=F.count(F.lit(1)))
+    short = positions(sized.filter(F.col("_n") <= most).drop("_n"), by, time, "_i", longest=most)
+    few = _streamed_min_d(short, grid, max_d, p_threshold, threshold, by, time)
+    base = sized.filter(F.col("_n") > most).drop("_n")
+    parts = [frac_diff(base, "_x", float(d), threshold, "_y", by=by, time=time).select(
+        *by, time, F.lit(float(d)).alias("_order"), "_y") for d in grid]
+    long = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("_y").isNotNull())
+    tests = adf_test(long, "_y", by=[*by, "_order"], time=time)
     passed = tests.filter((F.col("n") >= 20) & (F.col("p_value") < p_threshold)).groupBy(*by).agg(F.min("_order").alias("min_d"))
-    return attach(base.select(*by).distinct(), passed, by).withColumn("min_d", F.coalesce("min_d", lit(max_d)))
+    return attach(base.select(*by).distinct(), passed, by).withColumn("min_d", F.coalesce("min_d", lit(max_d))).unionByName(few)
+
+
+def _differenced(x: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """``weighted_past`` of one series, without the rows that have none; NaN is null."""
+    if len(weights) > 128:  # its frames read null as 0
+        x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+    y = np.convolve(x, weights, "valid") if len(x) >= len(weights) else np.empty(0)
+    return y[~np.isnan(y)]
+
+
+def adf_array(x: np.ndarray) -> tuple[float, float]:
+    """``adf_test`` of one series without nulls."""
+    n = len(x)
+    k = min(max(int(np.floor(np.cbrt(float(n - 1)) + 1e-9)), 1), (n - 1) // 3) if n else 0
+    if n < 10 or n - 1 - k <= k + 2:
+        return 0.0, 1.0
+    d = np.diff(x)
+    past = np.lib.stride_tricks.sliding_window_view(d, k + 1)[:, ::-1]  # the change, then the k changes before it
+    v = np.column_stack([np.ones(len(past)), x[k:-1] - x.mean(), past[:, 1:], past[:, :1]])
+    return _solve_adf((v.T @ v).ravel())
+
+
+def _streamed_min_d(placed: DataFrame, grid: np.ndarray, max_d: float, p_threshold: float, threshold: float, by: Sequence[str], time: str) -> DataFrame:
+    keys = [f for f in placed.schema.fields if f.name in by]
+    weights = [ffd_weights(float(d), threshold) if d else [1.0] for d in grid]
+
+    def least(x: np.ndarray) -> float:
+        for d, w in zip(grid, weights, strict=True):
+            y = _differenced(x, w)
+            if len(y) >= 20 and adf_array(y)[1] < p_threshold:
+                return float(d)
+        return max_d
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in _whole_keys(batches):
+            x = batch.column("_x").to_numpy(zero_copy_only=False)
+            unknown = _null_keys(batch, by)  # are not tested
+            found = [max_d if unknown[a] else least(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            first = pa.array(cuts[:-1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(first) for f in keys], pa.array(found, pa.float64())], [*[f.name for f in keys], "min_d"])
+
+    return _keys_in_order(placed, by, time).mapInArrow(work, T.StructType([*keys, T.StructField("min_d", T.DoubleType())])).select(*by, "min_d")
+
+
+# ---- whole series in a task --------------------------------------------------------------
+
+def _keys_in_order(placed: DataFrame, by: Sequence[str], time: str) -> DataFrame:
+    """Rows whose positions ``_i`` come from one window per key: keys one after the other, each in time order."""
+    return placed.sortWithinPartitions(*by, time)
+
+
+def _null_keys(batch: pa.RecordBatch, by: Sequence[str]) -> np.ndarray:
+    return reduce(np.logical_or, [batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in by], np.zeros(batch.num_rows, bool))
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole keys, and where in them a key begins, with the end; position 0 begins a key."""
+    open_: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        one = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return one, np.append(np.flatnonzero(one.column("_i").to_numpy() == 0), one.num_rows)
+
+    for batch in batches:
+        begins = np.flatnonzero(batch.column("_i").to_numpy() == 0)
+        if not len(begins):
+            open_ += [batch] * (batch.num_rows > 0)
+            continue
+        if open_ or begins[-1] > 0:  # what was open ends here, and all keys of the batch but its last are whole
+            yield joined([*open_, batch.slice(0, int(begins[-1]))])
+        open_ = [batch.slice(int(begins[-1]))]
+    if open_:
+        yield joined(open_)
 
 
 # ---- wavelets ---------------------------------------------------------------------------
@@ -156,14 +240,44 @@ def _join_level(approx: DataFrame, detail: DataFrame, by: Sequence[str]) -> Data
 def wavelet_denoise(
     df: DataFrame, col: str, level: int = 3, mode: str = "soft", out: str = "denoised", *, by: Sequence[str] = KEY, time=TIME,
 ) -> DataFrame:
-    """db4 shrinkage of the whole series with the universal threshold, as joins and
-    aggregates over coefficients (it looks ahead; see the causal form).  Short series take fewer levels;
+    """db4 shrinkage of the whole series with the universal threshold (it looks ahead; see the causal form). Series that a task may hold
+    stream by as arrays, longer ones are joins and aggregates over coefficients. Short series take fewer levels;
     a filter spans eight rows, so shorter ones than that are not covered."""
-    placed = group_stats(positions(df.filter(F.col(col).isNotNull()), by, time, "_i"), by, _N0=F.count(F.lit(1)))
+    rows = df.filter(F.col(col).isNotNull())
+    most = rows_per_task(df.sparkSession)
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    placed = positions(rows, by, time, "_i", longest=size["most"] or 0)
+    if (size["most"] or 0) <= most:
+        placed = placed.withColumn("_N0", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    else:
+        placed = group_stats(placed, by, _N0=F.count(F.lit(1)))
+    held = (F.col("_N0") >= TAPS) & (F.col("_N0") <= most)
+    whole = placed.filter(held)
+    whole = whole if (size["most"] or 0) <= most else whole.repartition(*by)
+    done = _streamed_whole(whole, col, level, mode, out, by, time)
+    if TAPS <= (size["least"] or TAPS) and (size["most"] or 0) <= most:
+        return done
+    placed = placed.filter(~held)
     shallow = F.greatest(F.lit(1), F.floor(F.log2(F.col("_N0").cast("double"))) - 1)  # for series under 2^(level + 1) rows
     depth = F.when(F.col("_N0") < 2 ** (level + 1), F.least(shallow, F.lit(level))).otherwise(level)
     depths = sorted(r[0] for r in placed.select(depth.cast("int")).distinct().collect()) or [level]  # at most ``level`` numbers
-    return reduce(lambda a, b: a.unionByName(b), [_denoised(placed.filter(depth == d), col, d, mode, out, by) for d in depths])
+    others = reduce(lambda a, b: a.unionByName(b), [_denoised(placed.filter(depth == d), col, d, mode, out, by) for d in depths])
+    return done.unionByName(others)
+
+
+def _streamed_whole(placed: DataFrame, col: str, level: int, mode: str, out: str, by: Sequence[str], time: str) -> DataFrame:
+    kept = [f for f in placed.schema.fields if f.name not in ("_i", "_N0", "_x", out)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in _whole_keys(batches):
+            x = batch.column("_x").to_numpy()
+            depths = [min(level, max(1, int(np.log2(b - a)) - 1)) if b - a < 2 ** (level + 1) else level for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            value = np.concatenate([denoise_array(x[a:b], d, mode) for a, b, d in zip(cuts[:-1], cuts[1:], depths, strict=True)])
+            value = pa.array(value, mask=_null_keys(batch, by))  # null keys have no value
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], value], [*[f.name for f in kept], out])
+
+    rows = _keys_in_order(placed.withColumn("_x", F.col(col).cast("double")), by, time)
+    return rows.mapInArrow(work, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
 def _denoised(placed: DataFrame, col: str, level: int, mode: str, out: str, by: Sequence[str]) -> DataFrame:

@@ -161,3 +161,26 @@ def test_causal_wavelet_streams_keys(spark, monkeypatch):
     finally:
         spark.conf.unset("barloom.rows.per.task")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_whole_series_stream_as_arrays(spark):
+    """Keys over several batches, null keys and values, and keys too long for a task give what the joined plans give."""
+    rng = np.random.default_rng(17)
+    data = {f"s{i}": np.cumsum(rng.normal(size=n)) if i % 2 else rng.normal(size=n) for i, n in enumerate((150, 9, 5, 61, 40, 260))}
+    rows = frame(spark, data).selectExpr("nullif(symbol, 's4') AS symbol", "date", "if(symbol = 's0' AND date = 70, NULL, x) AS x").repartition(3)
+    key = lambda df: df.toPandas().sort_values(["symbol", *(["date"] if "date" in df.columns else [])]).reset_index(drop=True)
+    found = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for most in ("1000000", "100", "7"):  # all, some and no keys stream
+            spark.conf.set("barloom.rows.per.task", most)
+            smooth, order = S.wavelet_denoise(rows, "x"), S.find_min_d(rows, "x", step=0.25, threshold=1e-2)
+            if most == "1000000":
+                assert "FlatMap" not in order._jdf.queryExecution().executedPlan().toString() and "Join" not in order._jdf.queryExecution().executedPlan().toString()
+            found.append((key(smooth), key(order)))
+    finally:
+        spark.conf.unset("barloom.rows.per.task")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for smooth, order in found[1:]:
+        pd.testing.assert_frame_equal(found[0][0], smooth[found[0][0].columns], atol=1e-9)
+        pd.testing.assert_frame_equal(found[0][1], order)
