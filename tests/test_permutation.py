@@ -52,3 +52,16 @@ def test_tiles_hold_parts_of_a_key(spark, monkeypatch):
     parts = plan.toPandas().sort_values("fold").reset_index(drop=True)
     pd.testing.assert_frame_equal(whole, parts, rtol=1e-12)
     assert list(parts.fold) == [1, 2]
+
+
+def test_places_of_one_size_in_fewer_bits():
+    """One size for all places takes 32-bit numbers up to 2^31, and gives the places of the general form."""
+    from barloom.operators import inference
+
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 65537, 10**6, 2**30 + 7, 2**31 - 1, 2**31, 10**12):
+        k = np.unique(rng.integers(0, n, 2000))
+        for keys in shuffle_keys(5, n % 97):
+            want = shuffled_places(k, np.full(len(k), n), keys)
+            assert (shuffled_places(k, np.int64(n), keys) == want).all()
+            assert n >= 2**31 or (inference._small_places(k, n, keys) == want).all()
