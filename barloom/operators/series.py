@@ -394,7 +394,7 @@ def last_denoised(x: np.ndarray, lo: int, level: int = 3) -> np.ndarray:
                 found = x[(n[mine] - size)[:, None] + np.arange(size)] @ weights.T
                 edges[mine, :where[0].stop] = np.abs(found[:, where[0]])
                 parts[r] = mine, found
-        base, new = len(placed), shared[n[0] // 2:n[-1] // 2]
+        base, new = len(placed), shared[len(placed):n[-1] // 2]
         extra = n // 2 - base + (n + TAPS - 1) // 2 - n // 2
         count = base + extra
         r1, r2 = (count - 1) // 2, count // 2

@@ -130,7 +130,7 @@ def test_garch_fits_together_as_alone(spark):
 def test_last_values_of_all_prefixes():
     """From windows of fixed length and a shared median, without a pass over each prefix."""
     rng = np.random.default_rng(3)
-    for n, lo, level in ((533, 252, 3), (300, 130, 3), (90, 40, 3), (260, 70, 2), (300, 140, 4)):
+    for n, lo, level in ((533, 252, 3), (533, 253, 3), (400, 319, 3), (300, 130, 3), (90, 40, 3), (260, 70, 2), (260, 71, 2), (300, 140, 4)):
         for x in (np.cumsum(rng.normal(size=n)), np.round(rng.normal(size=n)), np.zeros(n)):
             assert np.allclose(S.last_denoised(x, lo, level), [S.denoise_array(x[:i + 1], level)[-1] for i in range(lo, n)], atol=1e-9)
     x = rng.normal(size=300)
