@@ -32,7 +32,8 @@ def walk_forward_study(
         "symbol", "date", "date_idx", "target", *features)
     folds = walk_forward_windows(rows.select("date").distinct(), train, val, purge, step)
     expanded = valid_row_filter(fold_expand(rows, folds, roles=["train", "val"]), features, "target")
-    models = ridge_fit(expanded.filter(F.col("role") == "train"), features, "target", alpha)
+    # One small model per fold: with it sent to all tasks, the copies of rows are scored where they are made.
+    models = F.broadcast(ridge_fit(expanded.filter(F.col("role") == "train"), features, "target", alpha))
     scored = linear_score(expanded.filter(F.col("role") == "val"), models, features)
     # Four metrics read the predictions: keep them once instead of scoring four times.
     kept = cut_lineage(scored.select("symbol", "date", "fold", "target", "pred"))
